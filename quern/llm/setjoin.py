@@ -27,6 +27,7 @@ keeps a null component.  Equal hashes are taken for equal shingles and equal
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -143,21 +144,24 @@ class Bands:
         self.low = [1]
         self.schemes: dict[int, Scheme] = {}
 
+    def _next(self) -> None:
+        self.low.append(self.low[-1] * self.den // self.num + 1)
+
     def of(self, size: int) -> int:
         while self.low[-1] <= size:
-            self.low.append(self.low[-1] * self.den // self.num + 1)
-        return int(np.searchsorted(self.low, size, "right")) - 1
+            self._next()
+        return bisect.bisect_right(self.low, size) - 1
 
     def scheme(self, band: int) -> Scheme:
         if band not in self.schemes:
-            self.of(self.low[-1] if band + 1 >= len(self.low) else 1)
+            while len(self.low) < band + 2:
+                self._next()
             below = self.low[max(band - 1, 0)]
             self.schemes[band] = Scheme(band, below, self.low[band + 1] - 1, self.num, self.den)
         return self.schemes[band]
 
     def keys(self, ordered: np.ndarray, mixed: np.ndarray) -> np.ndarray:
         b = self.of(len(ordered))
-        self.of(self.low[-1])
         return np.concatenate([self.scheme(b).keys(ordered, mixed), self.scheme(b + 1).keys(ordered, mixed)])
 
 
