@@ -7,7 +7,7 @@ sets within the threshold differ in at most ``H`` elements, so by the pigeonhole
 principle, with segment allowances v_i that sum (v_i + 1) to more than H, some
 segment differs in at most v_i elements: v = 0 is indexed by the segment's subset, v = 1 by the
 subset and all its one-deletion neighbours.  Costs decide the allowances of a
-band.  Sparse segments (at most one element) would collide between strangers;
+band.  Sparse segments (none or one element) would collide between strangers;
 the scheme has E spare segments, and a set with at most E sparse ones leaves
 them out, because a linked pair still shares a dense one; a set with more
 indexes them all.
@@ -43,6 +43,8 @@ from .shared import id_text, materialize, maybe_broadcast
 SEEN = 500_000
 #: What one expected meeting of two strangers in a bucket weighs against an index row.
 MEETING = 400.0
+#: Chance, for costs only, that a shingle of one text stands in a stranger.
+COMMON = 1e-3
 
 
 def set_of(hashes: np.ndarray, whole: np.ndarray, width: int) -> np.ndarray:
@@ -84,36 +86,38 @@ class Scheme:
     def __init__(self, band: int, low: int, high: int, num: int, den: int):
         self.band, self.high = band, high
         self.differ = 2 * high * (den - num) // (den + num)
-        self.exact, self.deleting, self.spare = self._allocate((low + high) / 2)
+        self.exact, self.deleting, self.spare, self.most = self._allocate((low + high) / 2)
         weights = np.concatenate([np.ones(self.exact), np.full(self.deleting, 2.0)])
         edges = np.cumsum(weights) / weights.sum()
         self.edges = np.array([min(int(e * 2.0**64), (1 << 64) - 1) for e in edges[:-1]], np.uint64)
         n = self.exact + self.deleting
         self.salt = scan.mix(np.arange(n, dtype=np.uint64) + np.uint64(scan.mix_int(band + 1) & ((1 << 60) - 1)))
 
-    def _allocate(self, size: float) -> tuple[int, int, int]:
-        """(exact segments, one-deletion segments, spare) of the least cost."""
+    def _allocate(self, size: float) -> tuple[int, int, int, int]:
+        """(exact segments, one-deletion segments, spare ones, elements that a sparse segment has at most) of the least cost."""
         need = self.differ + 1
         if need == 1:
-            return 0, 0, 0
+            return 0, 0, 0, -1
         options = []
-        for deleting in {0, need // 2}:
-            exact, spare = need - 2 * deleting, 0
-            if not deleting:
-                for spare in range(4 * need + 8):
-                    m = need + spare
-                    p = math.exp(-size / m) * (1 + size / m)
-                    if spare >= m * p + 3 * math.sqrt(m * p):
-                        break
-                else:
-                    spare = 0
-                exact = need + spare
+        half = need // 2
+        for exact, deleting, spare, most in [(need, 0, 0, -1), (need - 2 * half, half, 0, -1), *self._spared(size, need)]:
             unit = size / (exact + 2 * deleting)
             rows = exact + deleting * (1 + 2 * unit)
-            strangers = exact * math.exp(-2 * unit) * (1 if not spare else unit**2) + deleting * math.exp(-4 * unit) * (1 + 2 * unit)
-            options.append((rows + MEETING * strangers, exact, deleting, spare))
+            strangers = exact * math.exp(-2 * unit) * (unit * unit * COMMON) ** (most + 1) + deleting * math.exp(-4 * unit) * (1 + 2 * unit)
+            options.append((rows + MEETING * strangers, exact, deleting, spare, most))
         return min(options)[1:]
 
+    @staticmethod
+    def _spared(size: float, need: int) -> Iterator[tuple[int, int, int, int]]:
+        """Exact segments with enough spare ones that few sets have more sparse segments than that."""
+        for most in (0, 1):
+            for spare in range(1, need + 8):
+                m = need + spare
+                p = math.exp(-size / m) * (1 + most * size / m)
+                if spare >= m * p + 3 * math.sqrt(m * p):
+                    yield m, 0, spare, most
+                    break
+
     def keys(self, ordered: np.ndarray, mixed: np.ndarray) -> np.ndarray:
         """Index keys of a set given as sorted hashes and the same elements mixed."""
         n = self.exact + self.deleting
@@ -127,7 +131,7 @@ class Scheme:
         part = sums[cut[1:]] - sums[cut[:-1]] + self.salt
         full = part
         if self.spare:
-            sparse = np.diff(cut) <= 1
+            sparse = np.diff(cut) <= self.most
             if np.count_nonzero(sparse) <= self.spare:
                 full = part[~sparse]
         if not self.deleting:
