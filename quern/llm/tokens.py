@@ -96,7 +96,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, pa
 
 
 def schema(doc_id: T.DataType | None = None) -> T.StructType:
-    return T.StructType().add("shard", "int").add("doc_id", doc_id or T.LongType()).add("local_start", "long").add("n_tokens", "long").add("ids", "array<int>")
+    fields = [("shard", T.IntegerType()), ("doc_id", doc_id or T.LongType()), ("local_start", T.LongType()), ("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType()))]
+    return T.StructType([T.StructField(*f) for f in fields])
 
 
 def metadata(spark: SparkSession, path: str, doc_id: T.DataType | None = None) -> DataFrame:
