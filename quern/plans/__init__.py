@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list[str] = []
+_MODULES: list[str] = ["curation"]
 
 
 def _modules():
