@@ -35,9 +35,13 @@ def compute_once(requests: DataFrame, keys: list[str], compute) -> DataFrame:
 
 def best_versus_played(rows: DataFrame, group: str, item: str, score: str, played: str) -> DataFrame:
     """Per group the best item (greatest score, then least item), the played one and the loss, never negative."""
-    best = rows.groupBy(group).agg(F.max_by(item, F.struct(F.col(score), -F.col(item))).alias("best"), F.max(score).alias("best_score"))
-    at = rows.filter(F.col(item) == F.col(played)).select(group, F.col(item).alias("played_item"), F.col(score).alias("played_score"))
-    out = best.join(at, group, "left")
+    own = F.when(F.col(item) == F.col(played), F.col(score))
+    out = rows.groupBy(group).agg(
+        F.max_by(item, F.struct(F.col(score), -F.col(item))).alias("best"),
+        F.max(score).alias("best_score"),
+        F.max(F.when(F.col(item) == F.col(played), F.col(item))).alias("played_item"),
+        F.max(own).alias("played_score"),
+    )
     loss = F.when(F.col("best") == F.col("played_item"), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.col("best_score") - F.col("played_score")))
     return out.withColumn("loss", loss)
 

@@ -111,7 +111,7 @@ def greedy_labels(df: DataFrame, key: str, labels: str, each: int, seed: int, ca
         return pd.DataFrame({key: pd.Series(out, dtype=pdf[key].dtype), "pick": range(1, len(out) + 1)})
 
     kind = dict(df.dtypes)[key]
-    return pool.groupBy(F.lit(0)).applyInPandas(fold, f"{key} {kind}, pick long")
+    return pool.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(fold, f"{key} {kind}, pick long")
 
 
 def interleave(df: DataFrame, stream: str, order: str, weights: dict[str, float]) -> DataFrame:
@@ -155,7 +155,7 @@ def interleave_exact(df: DataFrame, stream: str, order: str, weights: dict[str,
         seq = smooth_round_robin(dict(zip(pdf[stream], pdf["n"].astype(int), strict=True)), weights)
         return pd.DataFrame({stream: [s for s, _ in seq], "ordinal": [o for _, o in seq], "position": range(1, len(seq) + 1)})
 
-    slots = sizes.groupBy(F.lit(0)).applyInPandas(fold, f"{stream} string, ordinal long, position long")
+    slots = sizes.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(fold, f"{stream} string, ordinal long, position long")
     return at.join(slots, [stream, "ordinal"])
 
 
