@@ -12,11 +12,15 @@ the scheme has E spare segments, and a set with at most E sparse ones leaves
 them out, because a linked pair still shares a dense one; a set with more
 indexes them all.
 
-Candidates come from index buckets: first each bucket's smallest doc_id against
-its members; then, only in buckets that still hold several components, further
-leaders in doubling steps until all pairs across components have been tried.
-Pairs are verified on their whole sets; components follow.  Equal sets are
-collapsed beforehand, and again within a task before anything is shuffled.
+Candidates come from index buckets: each bucket's smallest doc_id (its leader)
+is verified against the members.  Members that link with the leader are in one
+component, so only pairs with an unlinked member are left.  Those are found by
+differences: with D = leader XOR member, |x XOR y| = |Dx| + |Dy| - 2 |Dx & Dy|, so
+an unlinked x and a y can link only if their differences share enough elements.
+A prefix join over the differences, rarest elements first, with bounds on both
+positions, yields such pairs without listing a group's pairs.  All are verified
+on the whole sets; components follow.  Equal sets are collapsed beforehand, and
+again within a task before anything is shuffled.
 
 Defined cases: null or wordless texts have an empty set, n_shingles 0, and link
 with nothing; a text of fewer words than the width is one shingle of them all;
@@ -240,15 +244,43 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
     return id_text(docs).mapInArrow(run, "fp long, items array<long>")
 
 
-def links(pairs: DataFrame, content: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets meet the threshold."""
+def measured(pairs: DataFrame, content: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, the sets' sizes na and nb, and whether they are linked, from the whole sets."""
     left = content.select(F.col("fp").alias("a"), F.col("items").alias("left"))
     right = content.select(F.col("fp").alias("b"), F.col("items").alias("right"))
-    shared = F.size(F.array_intersect("left", "right"))
-    both = pairs.join(right, "b").join(left, "a")
-    near = F.least(F.size("left"), F.size("right")) * den >= F.greatest(F.size("left"), F.size("right")) * num
-    kept = both.filter(near).withColumn("shared", shared)
-    return kept.filter(F.col("shared") * den >= (F.size("left") + F.size("right") - F.col("shared")) * num).select("a", "b")
+    sizes = pairs.join(right, "b").join(left, "a").select("a", "b", F.size("left").cast("long").alias("na"), F.size("right").cast("long").alias("nb"), F.size(F.array_intersect("left", "right")).alias("shared"))
+    return sizes.select("a", "b", "na", "nb", (F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num).alias("linked"))
+
+
+def difference_pairs(stars: DataFrame, content: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members of one leader, one of them not linked with it, that may link.
+
+    ``stars``: a (leader), b (member), na, nb, linked.  For an unlinked x and any y,
+    the differences must share c = ceil((|Dx| + |Dy| - floor((|x| + |y|) r)) / 2) >= 1
+    elements, r = (den - num) / (den + num); so their prefixes of |D| - c + 1 elements meet.
+    The bounds that hold for every partner cut the rows before the join.
+    """
+    up, down = den + num, den - num
+    groups = stars.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("far")).filter("n > 1 and far > 0").select("a")
+    left = content.select(F.col("fp").alias("a"), F.col("items").alias("left"))
+    right = content.select(F.col("fp").alias("b"), F.col("items").alias("right"))
+    both = stars.join(groups, "a", "left_semi").join(right, "b").join(left, "a")
+    apart = F.concat(F.array_except("left", "right"), F.array_except("right", "left"))
+    rows = both.select("a", "b", "na", "nb", "linked", apart.alias("apart")).select("a", "b", "na", "nb", "linked", F.size("apart").cast("long").alias("nd"), F.explode("apart").alias("e"))
+    rows = materialize(rows, "differences")
+    often = rows.groupBy("a", "e").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "e"))
+    placed = rows.join(often, ["a", "e"]).withColumn("pos", place).filter("f > 1")
+    least = lambda twice: F.greatest(F.ceil(twice / (2 * up)), F.lit(1))
+    any_y = least(F.col("nd") * up + (F.col("na") - F.col("nb")) * down)
+    any_x = least(F.col("nd") * up - (F.col("na") + F.col("nb")) * down)
+    placed = materialize(placed.select("a", "e", "b", "nb", "nd", "linked", "pos", (F.col("nd") - any_y + 1).alias("last_y"), (F.col("nd") - any_x + 1).alias("last_x")), "places")
+    x = placed.filter("not linked and pos <= last_x").select("a", "e", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("nd").alias("dx"), F.col("pos").alias("px"))
+    y = placed.filter("pos <= last_y").select("a", "e", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("nd").alias("dy"), F.col("pos").alias("py"), "linked")
+    shared = F.expr(f"ceil((dx + dy - floor((nx + ny) * {down} / {up})) / 2)")
+    fits = (F.col("px") <= F.col("dx") - shared + 1) & (F.col("py") <= F.col("dy") - shared + 1) & (F.col("x") != F.col("y")) & (F.col("linked") | (F.col("x") < F.col("y")))
+    met = x.alias("l").join(y.alias("r"), (F.col("l.a") == F.col("r.a")) & (F.col("l.e") == F.col("r.e")) & fits)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -288,11 +320,9 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     ids = known.filter("fp is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "fp").distinct()
     star = rows.select("leader", "doc_id").distinct()
     star = star.join(ids.withColumnRenamed("fp", "b"), "doc_id").join(ids.select(F.col("doc_id").alias("leader"), F.col("fp").alias("a")), "leader")
-    star = materialize(star.select("leader", "doc_id", "a", "b"), "star")
-    pairs = star.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = materialize(pairs, "pairs")
-    wanted = materialize(tried.select(F.col("a").alias("fp")).union(tried.select("b")).distinct(), "wanted")
-    labels = _linked(spark, docs, known, rows, star, tried, wanted, width, num, den)
+    stars = materialize(star.filter("a <> b").select("a", "b").distinct(), "stars")
+    wanted = materialize(stars.select(F.col("a").alias("fp")).union(stars.select("b")).distinct(), "wanted")
+    labels = _linked(spark, docs, known, stars, wanted, width, num, den)
     rooted = labels.select(F.col("node").alias("fp"), "root")
     classes = known.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -301,7 +331,7 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     return out.select("doc_id", "n_shingles", "component_id")
 
 
-def _linked(spark, docs, known, rows, star, tried, wanted, width: int, num: int, den: int) -> DataFrame:
+def _linked(spark, docs, known, stars, wanted, width: int, num: int, den: int) -> DataFrame:
     """node, root over the fingerprints that have links."""
     n_wanted = wanted.count()
     if n_wanted == 0:
@@ -311,32 +341,10 @@ def _linked(spark, docs, known, rows, star, tried, wanted, width: int, num: int,
     readers = materialize(readers, "readers")
     content = whole_sets(id_text(docs).join(maybe_broadcast(readers, 16, n_wanted), "doc_id", "left_semi"), width).dropDuplicates(["fp"])
     content = materialize(content, "content")
-    found = materialize(links(tried, content, num, den), "links")
-    labels = components(found)
-    member = star.filter("a <> b").select("leader", "doc_id", "a", "b")
-    # buckets by member sets: the leader's row and the others'
-    buckets = rows.join(member, ["leader", "doc_id"]).select("key", F.explode(F.array("a", "b")).alias("fp")).distinct()
-    buckets = materialize(buckets, "members")
-    step = 1
-    while True:
-        degree = found.select(F.col("a").alias("fp")).union(found.select("b")).groupBy("fp").agg(F.count("*").alias("degree"))
-        now = buckets.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        place = Window.partitionBy("key").orderBy(F.desc("degree"), "fp")
-        ranked = now.join(mixed, "key", "left_semi").join(degree, "fp", "left").fillna(0, ["degree"]).withColumn("place", F.row_number().over(place)).select("key", "fp", "root", "place")
-        ranked = materialize(ranked, "ranked")
-        if ranked.filter(F.col("place") > step).isEmpty():
-            break
-        lead = ranked.filter((F.col("place") >= step) & (F.col("place") < 2 * step)).select("key", F.col("fp").alias("x"), F.col("root").alias("rx"), F.col("place").alias("px"))
-        more = ranked.join(lead, "key").filter("place > px and root <> rx").select(F.least("x", "fp").alias("a"), F.greatest("x", "fp").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = materialize(more, "pairs")
-        got = materialize(links(more, content, num, den), "links")
-        tried = materialize(tried.union(more), "tried")
-        if not got.isEmpty():
-            found = materialize(found.union(got), "links")
-            labels = components(found)
-        step *= 2
-    return labels
+    first = materialize(measured(stars, content, num, den), "measured")
+    more = materialize(difference_pairs(first, content, num, den), "pairs")
+    second = measured(more, content, num, den)
+    return components(first.unionByName(second).filter("linked"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
