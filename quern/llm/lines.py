@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, maybe_broadcast
+from .shared import fresh, materialize, maybe_broadcast
 
 #: Words of a line that stands alone, divisor of the rolling hash, words of a run that is removed.
 LONG_LINE, DIVISOR, MIN_WORDS = 16, 3, 50
@@ -108,46 +108,44 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return part.select("doc_id", "key", "range.first_line", "range.n_lines", F.slice("lines", F.col("range.first_line") + 1, F.col("range.n_lines")).alias("part")).dropDuplicates(["doc_id", "key", "first_line", "n_lines"])
 
 
-def _edited(docs: DataFrame) -> DataFrame:
-    """``docs`` with two columns more: the lines that stay (null: all) and the ranges that go."""
+def _edited(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with one column more, whose name comes second: the lines that stay (null: all)."""
     runs = materialize(repeated_runs(docs), "removals")
-    r = runs.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("ranges").alias("__gone"))
-    at = docs.withColumn("__text_key", F.xxhash64("text"))
-    at = at.join(maybe_broadcast(r, 256), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left").drop("__id", "__key", "__text_key")
-    out = lambda x, i: ~F.exists("__gone", lambda g: (i >= g["first_line"]) & (i < g["first_line"] + g["n_lines"]))
-    return at.withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.filter(F.split("text", "\n", -1), out)))
+    gone, kept, its = fresh(docs, "__gone"), fresh(docs, "__kept"), fresh(docs, "__text_key")
+    r = runs.select(F.col("doc_id").alias(fresh(docs, "__id")), F.col("key").alias(fresh(docs, "__key")), F.col("ranges").alias(gone))
+    same = F.col("doc_id").eqNullSafe(F.col(r.columns[0])) & (F.col(its) == F.col(r.columns[1]))
+    at = docs.withColumn(its, F.xxhash64("text")).join(maybe_broadcast(r, 256), same, "left")
+    stays = lambda x, i: ~F.exists(gone, lambda g: (i >= g["first_line"]) & (i < g["first_line"] + g["n_lines"]))
+    out = at.withColumn(kept, F.when(F.col(gone).isNotNull(), F.filter(F.split("text", "\n", -1), stays)))
+    return out.select(*docs.columns, kept), kept
+
+
+def _texted(at: DataFrame, docs: DataFrame, kept: str) -> DataFrame:
+    """The columns of ``docs`` with ``text``, and ``n_chars`` if there is one, brought up to date."""
+    text = F.when(F.col(kept).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return at.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with repeated runs taken out of ``text`` (and ``n_chars``, if
-    there is one, brought up to date)."""
-    at = _edited(docs)
-    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    out = at.withColumn("__text", text)
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.col("__text").alias("text"))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType)).alias("n_chars"))
-        else:
-            columns.append(F.col(c))
-    return out.select(*columns)
+    """All columns of ``docs`` with repeated runs taken out of ``text``."""
+    at, kept = _edited(docs)
+    return _texted(at, docs, kept)
 
 
 def drop_emptied(docs: DataFrame) -> DataFrame:
     """``dedup`` without the documents that lost all their lines."""
-    at = _edited(docs).filter("__kept is null or size(__kept) > 0")
-    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    size = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length(text)) if "n_chars" in docs.columns else None
-    return at.select(*[text.alias(c) if c == "text" else size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    at, kept = _edited(docs)
+    return _texted(at.filter(F.col(kept).isNull() | (F.size(kept) > 0)), docs, kept)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, text of every row."""
-    at = _edited(docs.select("doc_id", "text"))
+    at, name = _edited(docs.select("doc_id", "text"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    kept = F.col("__kept")
+    kept = F.col(name)
     return at.select("doc_id", n.alias("n_lines"), F.when(kept.isNull(), 0).otherwise(n - F.size(kept)).alias("n_removed"), F.when(kept.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
 
 

@@ -52,3 +52,11 @@ def id_text(docs: DataFrame, *extra: str) -> DataFrame:
     """Only the columns that an operator reads, so clashing extra columns of the
     input never meet the operator's own names."""
     return docs.select("doc_id", "text", *extra)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not use yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
