@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def request_seed(seed: int, game: int, ply: int) -> int:
 
 def with_blake2(df: DataFrame, column: str, name: str = "digest", size: int = 16) -> DataFrame:
     """``df`` with the blake2b hex digest of a column (Spark has no such function); null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def digest(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else blake2_hex(v, size))
