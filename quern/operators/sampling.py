@@ -122,40 +122,50 @@ def interleave(df: DataFrame, stream: str, order: str, weights: dict[str, float]
     return at.withColumn("due", (F.col("ordinal") - 0.5) / F.element_at(weight, F.col(stream)))
 
 
-def smooth_round_robin(counts: dict[str, int], weights: dict[str, float]) -> list[tuple[str, int]]:
-    """Exact smooth weighted round-robin over streams of known lengths: (stream, ordinal) in order.
+def smooth_round_robin(streams: dict[str, list], weights: dict[str, float]) -> list[tuple[str, int]]:
+    """Exact smooth weighted round-robin with dedup: (stream, ordinal from 1) in order.
 
-    Every step each live stream gains its weight, the first richest pays the sum of live weights.
+    Every step each live stream gains its weight and the first richest one pays the sum of the
+    live weights and gives its next entry that no stream gave before (``None`` is always new);
+    a stream that has none left when its turn comes is out, so the others keep their ratios.
     """
-    credit = {s: 0.0 for s in weights}
-    taken = {s: 0 for s in weights}
-    out = []
-    while True:
-        live = [s for s in weights if taken[s] < counts.get(s, 0)]
-        if not live:
-            return out
+    credit = dict.fromkeys(weights, 0.0)
+    place = dict.fromkeys(weights, 0)
+    live, seen, out = list(weights), set(), []
+    while live:
+        total = sum(weights[s] for s in live)
         for s in live:
             credit[s] += weights[s]
         best = max(live, key=lambda s: credit[s])
-        credit[best] -= sum(weights[s] for s in live)
-        taken[best] += 1
-        out.append((best, taken[best]))
-
-
-def interleave_exact(df: DataFrame, stream: str, order: str, weights: dict[str, float]) -> DataFrame:
-    """Rows with their ``position`` under smooth weighted round-robin: the fold runs over
-    (stream, ordinal) only, one task, then joins back."""
+        credit[best] -= total
+        rows, at = streams.get(best, []), place[best]
+        while at < len(rows) and rows[at] is not None and rows[at] in seen:
+            at += 1
+        place[best] = at + 1
+        if at >= len(rows):
+            live.remove(best)
+            continue
+        seen.add(rows[at])
+        out.append((best, at + 1))
+    return out
+
+
+def interleave_exact(df: DataFrame, stream: str, order: str, weights: dict[str, float], key: Column | None = None) -> DataFrame:
+    """Rows with their ``position`` under smooth weighted round-robin, each key once over all
+    streams: the fold runs over (stream, ordinal, key digest) only, one task, then joins back."""
     import pandas as pd
 
     k = F.row_number().over(Window.partitionBy(stream).orderBy(order))
     at = df.filter(F.col(stream).isin(list(weights))).withColumn("ordinal", k.cast("long"))
-    sizes = at.groupBy(stream).agg(F.max("ordinal").alias("n"))
+    digest = F.lit(None).cast("string") if key is None else F.md5(key.cast("string"))
+    narrow = at.select(F.col(stream).alias("s"), "ordinal", digest.alias("k"), F.lit(0).alias("one"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seq = smooth_round_robin(dict(zip(pdf[stream], pdf["n"].astype(int), strict=True)), weights)
+        rows = {s: [None if pd.isna(x) else x for x in g.sort_values("ordinal")["k"]] for s, g in pdf.groupby("s")}
+        seq = smooth_round_robin(rows, weights)
         return pd.DataFrame({stream: [s for s, _ in seq], "ordinal": [o for _, o in seq], "position": range(1, len(seq) + 1)})
 
-    slots = sizes.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(fold, f"{stream} string, ordinal long, position long")
+    slots = narrow.groupBy("one").applyInPandas(fold, f"{stream} string, ordinal long, position long")
     return at.join(slots, [stream, "ordinal"])
 
 

@@ -80,8 +80,8 @@ def interleave_deadline(spark, d):
 
 def interleave_round_robin(spark, d):
     """SMP9: smooth weighted round-robin, exact."""
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    return sampling.interleave_exact(docs, "lang", "doc_id", {"en": 5.0, "fr": 1.0, "de": 1.0})
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    return sampling.interleave_exact(docs, "lang", "doc_id", {"en": 5.0, "fr": 1.0, "de": 1.0}, F.col("text")).drop("text")
 
 
 def two_stream_interleave(spark, d):

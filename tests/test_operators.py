@@ -67,9 +67,11 @@ def test_samplers_are_bounded_and_reproducible(spark):
 
 
 def test_smooth_round_robin_by_hand():
-    got = "".join(s for s, _ in sampling.smooth_round_robin({"a": 9, "b": 2, "c": 2}, {"a": 5.0, "b": 1.0, "c": 1.0}))
-    assert got.startswith("aabacaa") and sorted(got) == sorted("a" * 9 + "bbcc")
-    assert [s for s, _ in sampling.smooth_round_robin({"a": 1, "b": 3}, {"a": 1.0, "b": 1.0})] == ["a", "b", "b", "b"]
+    rr = lambda streams, w: "".join(s for s, _ in sampling.smooth_round_robin(streams, w))
+    assert rr({"a": [None] * 9, "b": [None] * 2, "c": [None] * 2}, {"a": 5.0, "b": 1.0, "c": 1.0}).startswith("aabacaa")
+    assert rr({"a": [None], "b": [None] * 3}, {"a": 1.0, "b": 1.0}) == "abbb"
+    assert sampling.smooth_round_robin({"a": [1, 2], "b": [1, 2, 3]}, {"a": 1.0, "b": 1.0}) == [("a", 1), ("b", 2), ("b", 3)]
+    assert rr({}, {"a": 1.0}) == ""
 
 
 def test_greedy_cover(spark):
