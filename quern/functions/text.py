@@ -85,3 +85,23 @@ def as_list(text: Column) -> Column:
     """Words of a scalar as a list; empty for null and blank."""
     t = F.trim(F.coalesce(text, F.lit("")))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
+
+
+_SIDED = r"<SQUARE_[0-9]+>|<PIECE_[MO][PNBRQK]>|\bplayer\b|\bopponent\b"
+
+
+def reanchor(text: Column) -> Column:
+    """The same statement seen from the other side: squares mirrored, mine and opponent's swapped."""
+    tokens = F.regexp_extract_all(text, F.lit(f"({_SIDED})"), F.lit(1))
+    gaps = F.split(text, _SIDED, -1)
+
+    def turn(t: Column) -> Column:
+        n = F.regexp_extract(t, r"(\d+)", 1).cast("int")
+        mirrored = F.concat(F.lit("<SQUARE_"), ((n - 1).bitwiseXOR(F.lit(56)) + 1).cast("string"), F.lit(">"))
+        piece = F.concat(F.lit("<PIECE_"), F.when(F.substring(t, 8, 1) == "M", "O").otherwise("M"), F.substring(t, 9, 2))
+        word = F.when(t == "player", "opponent").otherwise("player")
+        return F.when(t.startswith("<SQUARE_"), mirrored).when(t.startswith("<PIECE_"), piece).otherwise(word)
+
+    turned = F.transform(tokens, turn)
+    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(turned, i), F.lit(""))))
+    return F.array_join(pieces, "")

@@ -138,6 +138,21 @@ def parsed_evaluations(spark, d):
     return p.select("c_custkey", "line", "p.kind", "p.pawns", "p.method")
 
 
+def reanchored(spark, d):
+    """STR7: statements about parts, turned to the other side."""
+    p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("The player has <PIECE_MQ> on <SQUARE_"), (F.col("p_partkey") % 64 + 1).cast("string"), F.lit(">, the opponent <PIECE_OK>.")).alias("t"))
+    return p.select("p_partkey", text.reanchor(F.col("t")).alias("turned"), (text.reanchor(text.reanchor(F.col("t"))) == F.col("t")).alias("again"))
+
+
+def polymorphic_rows(spark, d):
+    """SRC6, PRJ8: rows told apart by their form."""
+    from ..sources import files
+
+    lines = ['["s", ["m"], "e"]', '["s", ["m"], "e", ["x", "y"], "f"]', '["s", [], "e", {"games": [{"white": "a", "black": "b", "result": "*", "moves": ["e2e4"]}]}]', '{"start_fen": "s", "moves": ["m"], "fen": "e"}', "torn ["]
+    rows = files.decode_rows(spark.createDataFrame([(x,) for x in lines], "value string"))
+    return rows.select("start_fen", "fen", F.array_join("moves", ",").alias("moves"), F.array_join("ahead_moves", ",").alias("ahead"), "ahead_fen", F.coalesce(F.size("games"), F.lit(0)).alias("games"))
+
+
 def lookup_crc(spark, d):
     """HSH6: crc32 seeds."""
     return table(spark, d, "documents").select("doc_id", F.crc32(F.col("doc_id").cast("string")).alias("crc"))
@@ -155,7 +170,7 @@ def blake_digests(spark, d):
     return with_blake2(table(spark, d, "documents").select("source").distinct(), "source")
 
 
-QUERIES = {f.__name__: f for f in (token_grades, token_multiset, section_map, section_replace, final_answer, after_tag, oxford_join, count_suffix, collate, chat_instance, aliased_columns, winrates, expected_scores, verdict_bands, integer_math, square_math, parsed_evaluations, lookup_crc, row_digests, blake_digests)}
+QUERIES = {f.__name__: f for f in (token_grades, token_multiset, section_map, section_replace, final_answer, after_tag, oxford_join, count_suffix, collate, chat_instance, aliased_columns, winrates, expected_scores, verdict_bands, integer_math, square_math, parsed_evaluations, reanchored, polymorphic_rows, lookup_crc, row_digests, blake_digests)}
 
 _TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
 _IDS = "list_transform(string_split(text, ' ')[1:40], lambda w: length(w))"
@@ -182,5 +197,7 @@ ORACLES = {
       l AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 'Black is better by ' || abs(cp) WHEN c_custkey % 7 = 0 THEN 'White mates in 3' ELSE printf('%+.2f', cp / 100.0) END AS line FROM c)
       SELECT c_custkey, line, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 7 = 0 THEN 'mate' ELSE 'number' END AS kind,
         CASE WHEN c_custkey % 3 = 0 THEN -abs(cp)::DOUBLE WHEN c_custkey % 7 = 0 THEN 100.0 ELSE line::DOUBLE END AS pawns, CASE WHEN c_custkey % 3 = 0 THEN 'black' WHEN c_custkey % 7 = 0 THEN 'white' ELSE 'default' END AS method FROM l""",
+    "reanchored": "SELECT p_partkey, 'The opponent has <PIECE_OQ> on <SQUARE_' || (xor((p_partkey % 64)::INT, 56) + 1) || '>, the player <PIECE_MK>.' AS turned, true AS again FROM part",
+    "polymorphic_rows": "SELECT * FROM (VALUES ('s', 'e', 'm', NULL, NULL, 0), ('s', 'e', 'm', 'x,y', 'f', 0), ('s', 'e', '', NULL, NULL, 1), ('s', 'e', 'm', NULL, NULL, 0)) t(start_fen, fen, moves, ahead, ahead_fen, games)",
     "row_digests": "SELECT n_nationkey, sha256(concat_ws('|', n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR)) AS digest FROM nation",
 }
