@@ -265,6 +265,19 @@ class Merges:
         return [ids[k] for k in range(n) if alive[k]]
 
 
+def fast_split() -> tuple[re.Pattern, re.Pattern]:
+    """(a character that the fast path does not know, the words of a lower-cased text).
+
+    Texts of the known characters alone are lower-cased and split as the tokenizer does it;
+    NFC leaves them as they are.
+    """
+    letters = [chr(c) for c in range(128, 0x180) if unicodedata.category(chr(c))[0] == "L"]
+    numbers = [chr(c) for c in range(128, 0x180) if unicodedata.category(chr(c))[0] == "N"]
+    lets, nums = "a-z" + "".join(letters), "0-9" + "".join(numbers)
+    words = f"[{lets}]+|[{nums}]|'(?:[stmd]|re|ve|ll)|[^\t\n\x0b\x0c\r {lets}{nums}]+"
+    return re.compile("[^\t-\r -~\xa1-ſ]"), re.compile(words)
+
+
 class WordCodec:
     """Encodes and decodes texts as one tokenizer file says."""
 
@@ -280,13 +293,7 @@ class WordCodec:
         self.library.no_padding()
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.alphabet = byte_alphabet()
-        letters = [chr(c) for c in range(128, 0x180) if unicodedata.category(chr(c))[0] == "L"]
-        numbers = [chr(c) for c in range(128, 0x180) if unicodedata.category(chr(c))[0] == "N"]
-        spaces = "\t\n\x0b\x0c\r "
-        #: Texts of these characters alone are lower-cased and split here; NFC leaves them as they are.
-        self.plain = re.compile("[^\t-\r -~\xa1-ſ]")
-        lets, nums = "a-z" + "".join(letters), "0-9" + "".join(numbers)
-        self.split = re.compile(f"[{lets}]+|[{nums}]|'(?:[stmd]|re|ve|ll)|[^{spaces}{lets}{nums}]+")
+        self.plain, self.split = fast_split()
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self.pair_codes, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, np.int64)
         suffix = self.merges.suffix

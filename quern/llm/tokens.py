@@ -16,6 +16,7 @@ unstated order among themselves; an empty input writes a table without rows.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -28,52 +29,92 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bpe, scan
 from .shared import id_text, shared_dir
 
 #: Bytes of a row group and of a page, rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 1000
-#: Text characters that the library encodes in one call.
+#: Text bytes whose words are looked up together.
 TOGETHER = 2 << 20
 
 
-def encoded(docs: DataFrame, path: str, end_id: int | None = 1) -> DataFrame:
-    """shard, doc_id, local_start, n_tokens, ids of every row, in the order of each partition."""
+class Library:
+    """The tokenizers library with a memory of words.
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The tokenizer merges inside words only, so a text's ids are its words' ids one after
+    another; each new word goes through the library once, many of them in one call.  Texts
+    with special tokens or characters beyond the fast split go through it whole.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
-        library.no_truncation()
-        library.no_padding()
-        many = getattr(library, "encode_batch_fast", library.encode_batch)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        model = json.load(open(path, encoding="utf-8"))["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        for t, i in model["vocab"].items():
+            self.ends[i] = bool(suffix) and t.endswith(suffix)
+        self.plain, self.split = bpe.fast_split()
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+
+    def _learn(self, need: set[str]) -> None:
+        if len(self.known) > bpe.CACHE_WORDS:
+            self.known = {w: self.known[w] for w in need if w in self.known}
+        new = [w for w in need if w not in self.known]
+        for k in range(0, len(new), 2000):
+            some = new[k : k + 2000]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<i4")
+            cut = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+            if len(cut) == len(some) and cut[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
+                self.known.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+            else:  # a tokenizer without marks at word ends
+                self.known.update((w, self.whole(w)) for w in some)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        words = [None if "<|" in t or self.plain.search(t) else self.split.findall(t.lower()) for t in texts]
+        need: set[str] = set()
+        for w in words:
+            if w is not None:
+                need.update(w)
+        self._learn(need)
+        ids_of = self.known.__getitem__
+        out = [self.whole(t) if w is None else b"".join(map(ids_of, w)) for t, w in zip(texts, words, strict=True)]
+        for w in need:
+            if len(w) > bpe.CACHE_CHARS:
+                del self.known[w]
+        return out
+
+
+def encoded(docs: DataFrame, path: str, end_id: int | None = 1) -> DataFrame:
+    """shard, doc_id, local_start, n_tokens, ids of every row, in the order of each partition."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = Library(path)
         shard, at = TaskContext.get().partitionId(), 0
-        tail = np.array([] if end_id is None else [end_id], np.int32)
+        tail = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
         for batch in rows:
-            for part in _slices(batch):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                parts: list[np.ndarray] = []
-                counts = np.empty(len(texts), np.int64)
-                for k, e in enumerate(many(texts, add_special_tokens=False)):
-                    ids = np.array(e.ids, np.int32)
-                    counts[k] = len(ids) + len(tail)
-                    parts += (ids, tail)
+            for part in scan.batches(batch, "text", TOGETHER):
+                coded = library.encode([t or "" for t in part.column("text").to_pylist()])
+                counts = np.array([(len(raw) + len(tail)) // 4 for raw in coded], np.int64)
                 ends = np.cumsum(counts)
-                flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+                flat = np.frombuffer(tail.join(coded) + tail, "<i4")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), shard, np.int32)), part.column("doc_id"), pa.array(at + ends - counts), pa.array(counts), lists], ["shard", "doc_id", "local_start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(coded), shard, np.int32)), part.column("doc_id"), pa.array(at + ends - counts), pa.array(counts), lists], ["shard", "doc_id", "local_start", "n_tokens", "ids"])
                 at += int(ends[-1]) if len(ends) else 0
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"shard int, doc_id {kind}, local_start long, n_tokens long, ids array<int>")
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    from . import scan
-
-    return scan.batches(batch, "text", TOGETHER)
-
-
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, partitions: int | None = None, encoding: str = "dictionary") -> None:
     """Write the token table of ``docs`` to ``path``.
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -63,7 +64,7 @@ def test_token_table_round_trip(odd, none, library):
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_table_selective_reads(spark, odd, library, encoding):
-    path = f"{shared_dir(spark)}/table-{encoding}"
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     tokens.write(odd.filter("doc_id is not null"), path, tokenizer(), encoding=encoding, partitions=3)
     some = tokens.read(spark, path, 3, 7)
     assert {r.doc_id for r in some.collect()} == {3, 4, 5, 6}
