@@ -268,3 +268,19 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 13, share:
     bad = contaminated(docs, items, size, share).filter("contaminated").select("doc_id").distinct()
     bad = materialize(bad, "contaminated")
     return docs.join(maybe_broadcast(bad, 16), "doc_id", "left_anti")
+
+
+ORACLE = r"""
+WITH low AS (SELECT doc_id AS id, true AS is_doc, text FROM documents UNION ALL SELECT item_id, false, text FROM benchmark),
+w AS (SELECT id, is_doc, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+items AS (SELECT id, w, least(13, len(w)) AS n FROM w WHERE NOT is_doc AND len(w) > 0),
+windows AS (SELECT DISTINCT id, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM items)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM w, sizes WHERE is_doc AND len(w) >= n)),
+hits AS (SELECT p.id, p.n, p.k, x.id AS item FROM places p JOIN windows x USING (n, win)),
+hit_words AS (SELECT id, count(DISTINCT j) AS n_hit FROM (SELECT id, unnest(range(k, k + n)) AS j FROM hits) GROUP BY id),
+hit_items AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item::VARCHAR, ',' ORDER BY item::VARCHAR) AS listed FROM hits GROUP BY id)
+SELECT w.id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM w LEFT JOIN hit_words USING (id) LEFT JOIN hit_items USING (id) WHERE is_doc
+"""

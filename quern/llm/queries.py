@@ -77,4 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op6_url_filter": urls.ORACLE,
     "op7_line_dedup": lines.ORACLE,
+    "op9_benchmark_decontamination": contamination.ORACLE,
+    "op10_ngram_jaccard_join": setjoin.ORACLE,
 }

@@ -353,3 +353,19 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
     kept = found.filter("component_id is null or doc_id = component_id").select("doc_id").distinct()
     nameless = docs.filter("doc_id is null")
     return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(nameless)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[k:k + 2], ' ') END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY c, g) AS pos, n FROM s JOIN (SELECT g, count(*) AS c FROM s GROUP BY g) USING (g) JOIN n USING (doc_id)),
+p AS (SELECT doc_id, g, n FROM f WHERE pos <= n - ceil(n * 0.9) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id),
+m AS (SELECT c.a, c.b, na, nb, count(*) AS common FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND y.g = x.g GROUP BY ALL),
+e AS (SELECT a, b FROM m WHERE 100 * common >= 90 * (na + nb - common)),
+ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, y.b FROM reach r JOIN ways y ON r.b = y.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = w.doc_id), w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id)
+"""
