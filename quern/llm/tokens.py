@@ -34,6 +34,8 @@ from .shared import id_text, shared_dir
 
 #: Bytes of a row group and of a page, rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 1000
+#: Distinct words that a task remembers, about 200 bytes each.
+MEMORY = 600_000
 #: Text bytes whose words are looked up together.
 TOGETHER = 2 << 20
 
@@ -65,7 +67,7 @@ class Library:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
     def _learn(self, need: set[str]) -> None:
-        if len(self.known) > bpe.CACHE_WORDS:
+        if len(self.known) > MEMORY:
             self.known = {w: self.known[w] for w in need if w in self.known}
         new = [w for w in need if w not in self.known]
         for k in range(0, len(new), 2000):
