@@ -1,8 +1,9 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, sentences are normalised (lower case, runs of
-anything but letters and digits become one space), and known ones become
-identifiers.  The sequence of identifiers is matched against ordered rules:
+A text is cut into pieces at end signs and line ends, pieces are normalised
+(lower case, runs of anything but letters and digits become one space), and the
+longest run of pieces that makes a known sentence becomes its identifier, so
+wrapped lines and signs inside a sentence do no harm.  The sequence of identifiers is matched against ordered rules:
 earlier rules take their sentences first; a rule's identifiers must follow one
 another in order, with at most ``GAP`` unknown sentences in between.
 
@@ -90,26 +91,37 @@ RULES: list[tuple[str, list[str]]] = [
     ("Proprietary", ["reserved"]),
 ]
 
-#: A sentence ends at such a sign before white space or the end, or at a line's end.
+#: A piece ends at such a sign before white space or the end, or at a line's end.
 _END = re.compile(r"[.!?;:]+(?=\s|$)|[\n\r]+")
 _OTHER = re.compile(r"[\W_]+")
+_BREAK = re.compile(r"\r\n|\n|\r")
+#: Characters of a line that count as wrapped when it ends without a sign.
+WRAPPED = 45
 
 
 def normal(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.lower()).strip()
 
 
-def sentences(text: str) -> Iterator[tuple[int, int, str]]:
-    """(first character, end, normalised) of each sentence that holds a letter or digit."""
-    at = 0
-    for m in _END.finditer(text):
-        n = normal(text[at : m.start()])
+def pieces(text: str) -> Iterator[tuple[int, int, str, bool, bool]]:
+    """(first character, end, normalised, joins, wrapped) of each piece that holds a letter or digit.
+
+    ``joins``: a sentence may go on from the piece before: over a line's end, a colon, a
+    semicolon, or the full stop of a list mark or short form, never over a blank line.
+    ``wrapped``: the line before was full, so unknown text goes on in the same sentence.
+    """
+    at, before, sign, breaks, long = 0, "", "", 0, False
+    for m in [*_END.finditer(text), None]:
+        end, raw = (m.end(), text[at : m.start()]) if m else (len(text), text[at:])
+        n = normal(raw)
         if n:
-            yield at, m.end(), n
-        at = m.end()
-    n = normal(text[at:])
-    if n:
-        yield at, len(text), n
+            stopped = "!" in sign or "?" in sign or ("." in sign and len(before.rsplit(" ", 1)[-1]) > 2)
+            yield at, end, n, bool(before) and breaks < 2 and not stopped, bool(before) and breaks == 1 and not sign and long
+            before, sign, breaks, long = n, "", 0, len(raw) >= WRAPPED
+        if m:
+            new = len(_BREAK.findall(m.group()))
+            breaks, sign = breaks + new, sign if new else sign + m.group()
+        at = end
 
 
 class Matcher:
@@ -118,17 +130,47 @@ class Matcher:
     def __init__(self, known: dict[str, list[str]] | None = None, rules: list[tuple[str, list[str]]] | None = None):
         known, self.rules = known or SENTENCES, rules or RULES
         self.ident = {normal(s): k for k, texts in known.items() for s in texts}
+        self.by_word: dict[str, list[str]] = {}
+        for n in sorted(self.ident, key=len, reverse=True):
+            self.by_word.setdefault(n.split(" ", 1)[0], []).append(n)
         # a known sentence holds one of these words; the rest of a text need not be cut up
         words = [set(s.split()) for s in self.ident]
         rare = ["license", "licensed", "copyright", "permission", "redistribution", "redistributions", "warranty", "warranties", "liable", "software", "unencumbered", "rights", "cc", "cc0", "compliance", "endorse"]
         self.full = any(not w & set(rare) for w in words)
         self.hint = re.compile("|".join(rare), re.IGNORECASE)
 
+    def _known(self, cut: list[tuple[int, int, str, bool, bool]], k: int) -> tuple[int, str] | None:
+        """(piece after it, identifier) of the longest known sentence that starts with piece ``k`` and ends with a piece."""
+        for n in self.by_word.get(cut[k][2].split(" ", 1)[0], ()):
+            at, j = 0, k
+            while n.startswith(cut[j][2], at):
+                at, j = at + len(cut[j][2]), j + 1
+                if at == len(n):
+                    return j, self.ident[n]
+                if n[at] != " " or j == len(cut) or not cut[j][3]:
+                    break
+                at += 1
+        return None
+
+    def seen(self, text: str) -> list[tuple[int, int, int, str]]:
+        """(number among all sentences, first character, end, identifier) of the known sentences."""
+        cut, out = list(pieces(text)), []
+        k, number, unknown = 0, 0, False
+        while k < len(cut):
+            hit = self._known(cut, k)
+            if hit:
+                number += 1
+                out.append((number, cut[k][0], cut[hit[0] - 1][1], hit[1]))
+            elif not (unknown and cut[k][4]):
+                number += 1
+            unknown, k = not hit, hit[0] if hit else k + 1
+        return out
+
     def find(self, text: str | None) -> list[tuple[str, int, int, int]]:
         """(licence, first character, end, sentences) of every rule match, by place."""
         if not text or not (self.full or self.hint.search(text)):
             return []
-        seen = [(k, a, b, self.ident[n]) for k, (a, b, n) in enumerate(sentences(text)) if n in self.ident]
+        seen = self.seen(text)
         free, out = [True] * len(seen), []
         for name, wanted in self.rules:
             for start in range(len(seen)):

@@ -87,6 +87,95 @@ def test_licence_rules_in_order():
     assert m.find(None) == m.find("") == m.find("no such thing") == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_licence_texts_as_they_are_printed():
+    m = licences.Matcher()
+    gpl2 = GPL.replace("software: you", "software; you").replace("version 3", "version 2")
+    for text, name, n in [(MIT, "MIT", 4), (BSD, "BSD-3-Clause", 4), (BSD[: BSD.index("3. ")], "BSD-2-Clause", 3), (GPL, "GPL-3.0-or-later", 3), (gpl2, "GPL-2.0-or-later", 3), (APACHE, "Apache-2.0", 4), (ISC, "ISC", 1), (MPL, "MPL-2.0", 1)]:
+        for t in (text, text.replace("\n", "\r\n"), "Some words before.\n\n" + text):
+            assert [(f[0], f[3]) for f in m.find(t)] == [(name, n)], name
+    for line, name in [("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"), ("# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"), ("License: MIT", "MIT")]:
+        assert [f[0] for f in m.find(line)] == [name], line
+    # neither over a blank line nor over the end of a sentence, and no piece is cut
+    assert m.find("License:\n\nMIT") == m.find("See the\nlicense. MIT") == m.find("SPDX-License-Identifier: MIT-0") == []
+
+
+def test_licence_wrapped_unknown_sentence_is_one():
+    one = "\nThe copyright holder asks that this unknown sentence be read by all who\nuse the software, on whatever machine they may come to use it, and by all\nwho hand it on to others in whatever form they like to do that."
+    t = BSD.replace("are met:\n", "are met:\n" + one + "\n")
+    assert [f[0] for f in licences.Matcher().find(t)] == ["BSD-3-Clause"]
+
+
 def test_licence_hint_covers_every_known_sentence():
     m = licences.Matcher()
     assert not m.full and all(m.hint.search(s) for s in m.ident)
