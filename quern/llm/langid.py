@@ -30,6 +30,8 @@ from .shared import id_text
 
 #: N-grams of a profile and of a document that are ranked.
 PROFILE, OWN = 400, 300
+#: Steps in which distances are counted, rows from which a bound is learnt.
+STEPS, FEW = 1000, 100
 #: N-grams that a task holds before it counts them and sends the counts on.
 _HELD = 6_000_000
 _letters: list[np.ndarray] = []
@@ -90,9 +92,13 @@ class Profiles:
     ranks: np.ndarray
 
     def nearest(self, text: str | None) -> tuple[str, float]:
+        return self.measured(text)[:2]
+
+    def measured(self, text: str | None) -> tuple[str, float, float]:
+        """Nearest language, score, and the out-of-place distance (0 to 1) to that language."""
         found = grams(text) if text else np.zeros(0, np.uint64)
         if not len(found) or not self.languages:
-            return "und", 0.0
+            return "und", 0.0, 1.0
         codes, counts = np.unique(found, return_counts=True)
         own = ranked(codes, counts, OWN)
         at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
@@ -103,7 +109,7 @@ class Profiles:
         order = np.argsort(distance, kind="stable")
         best = float(distance[order[0]])
         rest = float(distance[order[1]]) if len(order) > 1 else 1.0
-        return self.languages[order[0]], (0.5 + 0.5 * (rest - best) / rest) * (1.0 - best / 2) if rest > 0 else 1.0
+        return self.languages[order[0]], (0.5 + 0.5 * (rest - best) / rest) * (1.0 - best / 2) if rest > 0 else 1.0, best
 
 
 def learn(docs: DataFrame) -> Profiles:
@@ -160,17 +166,43 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, profiles).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def farthest(docs: DataFrame, profiles: Profiles) -> float:
+    """The distance beyond which a text is in none of the languages, from all rows of ``docs`` with a language.
+
+    As far above the 99th percentile of their distances as that lies above the median: a few
+    foreign or junk rows among them do not move it.  A hundredth needs ``FEW`` rows to be seen; with
+    fewer only texts go that share no n-gram with any profile.  Counts by step of ``1 / STEPS`` reach
+    the driver.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            got = [profiles.measured(t) for t in batch.column("text").to_pylist()]
+            steps, n = np.unique(np.array([int(np.ceil(g[2] * STEPS)) for g in got if g[0] != "und"], np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(steps), pa.array(n.astype(np.int64))], ["step", "n"])
+
+    counts = docs.filter("lang is not null and text is not null").select("text").mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
+    if sum(r[1] for r in counts) < FEW:
+        return (STEPS - 1) / STEPS
+    steps, n = np.array(sorted(tuple(r) for r in counts)).T
+    half, most = (int(steps[np.searchsorted(n.cumsum(), share * n.sum())]) for share in (0.5, 0.99))
+    return (2 * most - half) / STEPS
+
+
 def keep_known(docs: DataFrame, least: float = 0.05) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known: not ``und`` and scored ``least`` or more.
+    """The rows of ``docs``, all columns, whose language is known: not ``und``, no farther from its
+    profile than the learnt bound (``farthest``), and scored ``least`` or more.
 
     The verdict is computed beside the row in one map, so nothing is shuffled.
     """
-    profiles = learn(docs.filter(~held_out("doc_id")))
+    train = docs.filter(~held_out("doc_id"))
+    profiles = learn(train)
+    bound = farthest(train, profiles)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             at = batch.schema.get_field_index("text")
-            got = [profiles.nearest(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))
+            got = [profiles.measured(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([g[0] != "und" and g[1] >= least and g[2] <= bound for g in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -28,6 +28,18 @@ def test_language_prediction_sees_only_the_text(spark):
     assert [(r.lang_pred, r.score) for r in langid.predict(a, model).orderBy("doc_id").collect()] == [(r.lang_pred, r.score) for r in langid.predict(b, model).orderBy("doc_id").collect()]
 
 
+def test_language_that_no_profile_knows_goes(spark):
+    rnd = random.Random(5)
+    clean = [(k, t, lang) for k, t, lang in texts(6, 400)]
+    chinese = [(k, "".join(chr(rnd.randint(0x4E00, 0x9000)) for _ in range(60)), None) for k in range(1000, 1010)]
+    noise = [(k, "".join(rnd.choice("bcfgjkmpqvwxyz ") for _ in range(300)), None) for k in range(2000, 2010)]
+    # one foreign row with a language among the training rows does not move the bound
+    rows = [*clean, *chinese, *noise, (3000, chinese[0][1], "en"), (3001, None, "en"), (3002, "12 34", "en")]
+    kept = {r.doc_id for r in langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept & {r[0] for r in [*chinese, *noise]} == set() and not kept & {3000, 3001, 3002}
+    assert len(kept) >= 0.99 * len(clean)
+
+
 def test_language_odd_rows(odd, none):
     got = [(r.doc_id, r.lang_pred, r.score) for r in langid.identify(odd).collect()]
     assert len(got) == odd.count()
