@@ -78,36 +78,44 @@ def fill_groups(df: DataFrame, key: str, groups: list[tuple[str, Column, int]],
     return stratified(first.drop("__place"), "group_name", {n: q for n, _, q in groups}, seed, "fill", *ids)
 
 
-def greedy_labels(df: DataFrame, key: str, labels: str, each: int, seed: int, candidates: int = 200) -> DataFrame:
+def greedy_labels(df: DataFrame, key: str, labels: str, each: int, seed: int) -> DataFrame:
     """Greedy multi-label cover: again and again the least covered label takes the candidate whose
     labels are least covered in sum, then the one with more labels, then the least key, until each
     label has ``each`` rows or none is left.
 
-    Candidates are bounded beforehand: a hash-ranked top of each label, so the fold sees
-    ``candidates`` rows a label whatever the table's size.  Returns key, ``pick`` order.
+    All rows compete.  Rows with the same labels differ by key only, and once ``each`` of them are
+    taken all their labels have enough, so the fold gets the least ``each`` keys of each distinct set
+    of labels and gives what it would give over the whole table.  Nothing is drawn, so ``seed`` has
+    no effect.  Returns key, ``pick`` order.
     """
     import pandas as pd
 
-    exploded = df.select(key, F.array_sort(F.array_distinct(labels)).alias("__labels")).withColumn("__label", F.explode("__labels"))
-    pool = top_per_group(exploded, ["__label"], [rank_key(seed, "labels", key), F.col(key)], max(candidates, each)).select(key, "__labels").distinct()
+    sets = df.select(key, F.array_sort(F.array_distinct(labels)).alias("__labels")).filter(F.size("__labels") > 0).distinct()
+    # in buckets first, so a set that most rows share is trimmed by many tasks
+    some = top_per_group(sets.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(16))), ["__labels", "__bucket"], [F.col(key)], each)
+    pool = top_per_group(some, ["__labels"], [F.col(key)], each).select(key, "__labels")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = {k: list(v) for k, v in zip(pdf[key], pdf["__labels"], strict=True)}
-        cover = {x: 0 for v in rows.values() for x in v}
+        queues: dict[tuple, list] = {}
+        for k, v in sorted(zip(pdf[key], pdf["__labels"], strict=True), key=lambda r: r[0], reverse=True):
+            queues.setdefault(tuple(v), []).append(k)
+        cover = {x: 0 for v in queues for x in v}
         out = []
-        while rows:
+        while queues:
             needy = [x for x in sorted(cover, key=lambda x: (cover[x], x)) if cover[x] < each]
             pick = None
             for x in needy:
-                able = [k for k, v in rows.items() if x in v]
+                able = [v for v in queues if x in v]
                 if able:
-                    pick = min(able, key=lambda k: (sum(cover[y] for y in rows[k]), -len(rows[k]), k))
+                    pick = min(able, key=lambda v: (sum(cover[y] for y in v), -len(v), queues[v][-1]))
                     break
             if pick is None:
                 break
-            for y in rows.pop(pick):
+            out.append(queues[pick].pop())
+            if not queues[pick]:
+                del queues[pick]
+            for y in pick:
                 cover[y] += 1
-            out.append(pick)
         return pd.DataFrame({key: pd.Series(out, dtype=pdf[key].dtype), "pick": range(1, len(out) + 1)})
 
     kind = dict(df.dtypes)[key]

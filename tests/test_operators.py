@@ -81,6 +81,31 @@ def test_greedy_cover(spark):
     assert cover == {"x", "y", "z"} and len(got) == 2
 
 
+def greedy_plain(rows, each):
+    """The rule over all rows, plainly."""
+    rows = dict(rows)
+    cover, out = {x: 0 for v in rows.values() for x in v}, []
+    while True:
+        able = next((a for x in sorted(cover, key=lambda x: (cover[x], x)) if cover[x] < each and (a := [k for k, v in rows.items() if x in v])), None)
+        if not able:
+            return out
+        pick = min(able, key=lambda k: (sum(cover[y] for y in rows[k]), -len(rows[k]), k))
+        for y in rows.pop(pick):
+            cover[y] += 1
+        out.append(pick)
+
+
+def test_greedy_cover_lets_all_rows_compete(spark):
+    import random
+
+    rnd = random.Random(7)
+    for n, each in ((1500, 10), (40, 6)):
+        rows = [(k, sorted(rnd.sample("abcdefg", rnd.randint(1, 5)))) for k in range(n)]
+        rnd.shuffle(rows)
+        got = sampling.greedy_labels(frame(spark, rows, "k int, l array<string>"), "k", "l", each, 4).orderBy("pick").collect()
+        assert [r.k for r in got] == greedy_plain(rows, each)
+
+
 def test_splits_refuse_leaks(spark):
     df = frame(spark, [(1, "k", "test"), (2, "k", "train"), (3, "m", "val")], "i int, k string, split string")
     assert [r.k for r in splits.overlaps(df, "k").collect()] == ["k"]
