@@ -160,7 +160,10 @@ def decoded(df: DataFrame, fen: str = "fen", raw: str = "raw", pov: bool = True,
 
 def planes(df: DataFrame, history: str = "history") -> DataFrame:
     """fen, planes: 112 planes of 64 (eight boards of 13, newest first, seen by the side to move; then castling
-    rights, side, half-move clock, zeros and ones) from a position and its earlier ones (oldest first)."""
+    rights, side, half-move clock, zeros and ones) from a position and its earlier ones (oldest first).
+
+    Boards before the oldest given one repeat it, with a double-stepped pawn that can be taken in
+    passing put back to its first square; before the start position they stay empty."""
 
     def one(fens: list[str]) -> list[float]:
         boards = [rules.Board.of(f) for f in reversed(fens)]
@@ -169,14 +172,20 @@ def planes(df: DataFrame, history: str = "history") -> DataFrame:
         seen = [b.key() for b in boards]
         out: list[float] = []
         for k in range(8):
-            if k >= len(boards):
+            b = boards[min(k, len(boards) - 1)]
+            before = k >= len(boards)
+            if before and b.fen().split()[:4] == rules.START.split()[:4]:
                 out += [0.0] * (13 * 64)
                 continue
-            b = boards[k]
+            at = list(b.squares)
+            if before and b.ep is not None:
+                pawn = b.ep + (8 if b.turn else -8)
+                at[pawn], at[2 * b.ep - pawn] = "", at[pawn]  # back over the square passed
             for side in (own, 1 - own):
                 for kind in "PNBRQK":
                     letter = kind if side == 0 else kind.lower()
-                    out += [1.0 if b.squares[s ^ flip] == letter else 0.0 for s in range(64)]
+                    out += [1.0 if at[s ^ flip] == letter else 0.0 for s in range(64)]
+            k = min(k, len(boards) - 1)
             out += [1.0 if seen[k] in seen[k + 1 :] else 0.0] * 64
         now = boards[0]
         mine, theirs = ("QK", "qk") if own == 0 else ("qk", "QK")

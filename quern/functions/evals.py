@@ -21,17 +21,35 @@ def win_percent(cp: Column) -> Column:
     return 50 + 50 * (2 / (1 + F.exp(-F.lit(SLOPE) * c)) - 1)
 
 
-def verdict(pawns: Column) -> Column:
-    """Phrase band of an evaluation in pawns from white's side."""
-    size, side = F.abs(pawns), F.when(pawns > 0, "white").otherwise("black")
-    return F.when(size < 0.3, "equal").when(size < 0.8, F.concat(side, F.lit(" is slightly better"))).when(size < 1.8, F.concat(side, F.lit(" is better"))).when(size < 5, F.concat(side, F.lit(" is much better"))).otherwise(F.concat(side, F.lit(" is winning")))
+# The verdict phrases and the least pawns of each.
+VERDICTS = {
+    "winning": 4.0,
+    "much better-to-winning": 2.5,
+    "much better": 1.5,
+    "better-to-much better": 1.0,
+    "better": 0.6,
+    "slightly better-to-better": 0.3,
+    "slightly better": 0.1,
+}
+
+
+def verdict(pawns: Column, mate: Column | bool = False) -> Column:
+    """``side is phrase`` of an evaluation in pawns for white; a mate is winning; null below the least band."""
+    phrase = F.when(F.lit(mate) if isinstance(mate, bool) else mate, "winning")
+    for name, least in VERDICTS.items():
+        phrase = phrase.when(F.abs(pawns) >= least, name)
+    return F.concat(F.when(pawns >= 0, "white").otherwise("black"), F.lit(" is "), phrase)
 
 
 def verdict_value(text: Column) -> Column:
-    """A number for a verdict phrase, the longest phrase first; the leading side gives the sign."""
-    t = F.lower(text)
-    size = F.when(t.contains("slightly better"), 0.5).when(t.contains("much better"), 3.0).when(t.contains("winning"), 6.0).when(t.contains("better"), 1.2).when(t.contains("equal"), 0.0)
-    return F.when(t.startswith("black"), -size).otherwise(size)
+    """The middle of the band that the longest phrase in a text names (its least for ``winning``),
+    negative where black is the side; null without a phrase."""
+    tops = dict(zip(list(VERDICTS)[1:], VERDICTS.values(), strict=False))
+    size = F.lit(None).cast("double")
+    for name in sorted(VERDICTS, key=len):  # the longest is asked for first
+        value = (VERDICTS[name] + tops[name]) / 2 if name in tops else VERDICTS[name]
+        size = F.when(text.contains(name), value).otherwise(size)
+    return F.when(text.contains("black is"), -size).otherwise(size)
 
 
 def show_evaluation(cp: Column) -> Column:

@@ -44,45 +44,42 @@ def elo_grid(matches: DataFrame, target: str, opponent_elo: Column, points: Colu
     return within.groupBy(target).agg(F.first("rating").alias("rating"), F.min("elo").alias("ci_low"), F.max("elo").alias("ci_high"))
 
 
-def fit_ratings(matches: list[tuple[str, str, float, int]], anchors: dict[str, float], start: float = 1500.0, sweeps: int = 100, low: int = -200, high: int = 3600) -> dict[str, tuple[float, float, float]]:
-    """Joint ratings of a match table (a, b, points of a, games) by coordinate ascent on the grid:
-    players in name order, newest values used, anchors fixed; stops when a sweep moves nothing.
+def joint_ratings(matches: DataFrame, anchors: dict[str, float], start: float = 1500.0, sweeps: int = 60, low: int = -200, high: int = 3600) -> DataFrame:
+    """Joint maximum-likelihood ratings of a match table (a, b, score_a, games): player, rating, ci_low, ci_high.
 
-    Works on the aggregated match table (a row per pair), on the driver.
+    All free players move together: each sweep sums, per player and in one aggregation, the points
+    beyond expectation and their slope, and takes a damped Newton step, until no rating moves by a
+    tenth.  Then the grid gives each one's integer rating and interval against the others' fixed
+    ratings.  Anchored players keep theirs.  The driver holds one number a player.
     """
-    import numpy as np
-
-    names = sorted({x for a, b, *_ in matches for x in (a, b)})
-    elo = {n: float(anchors.get(n, start)) for n in names}
-    grid = np.arange(low, high + 1, dtype=float)
-
-    def likelihood(name: str) -> np.ndarray:
-        ll = np.zeros(len(grid))
-        for a, b, points, games in matches:
-            if name not in (a, b):
-                continue
-            own, other = (points, b) if name == a else (games - points, a)
-            e = 1 / (1 + 10 ** ((elo[other] - grid) / 400))
-            ll += own * np.log(e) + (games - own) * np.log1p(-e)
-        return ll
+    other = matches.select(F.col("b").alias("player"), F.col("a").alias("foe"), (F.col("games") - F.col("score_a")).alias("points"), "games")
+    both = matches.select(F.col("a").alias("player"), F.col("b").alias("foe"), F.col("score_a").alias("points"), "games").unionByName(other)
+    pairs = both.groupBy("player", "foe").agg(F.sum("points").alias("points"), F.sum("games").alias("games")).persist()
+    spark = matches.sparkSession
+    elo = {r[0]: float(anchors.get(r[0], start)) for r in pairs.select("player").distinct().collect()}
+
+    def rated() -> DataFrame:
+        return spark.createDataFrame(sorted(elo.items()) or [("", 0.0)], "name string, elo double")
+
+    def opposed() -> DataFrame:
+        foes = rated().select(F.col("name").alias("foe"), F.col("elo").alias("foe_elo"))
+        return pairs.join(foes, "foe").join(rated().select(F.col("name").alias("player"), "elo"), "player")
 
     for _ in range(sweeps):
-        moved = False
-        for n in names:
-            if n not in anchors:
-                new = float(grid[int(np.argmax(likelihood(n)))])
-                moved |= new != elo[n]
-                elo[n] = new
-        if not moved:
+        e = expected_score(F.col("elo"), F.col("foe_elo"))
+        sums = opposed().groupBy("player").agg(F.sum(F.col("points") - F.col("games") * e).alias("beyond"), F.sum(F.col("games") * e * (1 - e)).alias("slope"))
+        moved = 0.0
+        for name, beyond, slope in sums.collect():
+            if name not in anchors:
+                step = 0.7 * beyond / max(slope * 2.302585092994046 / 400, 1e-9)
+                new = min(max(elo[name] + min(max(step, -200.0), 200.0), float(low)), float(high))
+                moved, elo[name] = max(moved, abs(new - elo[name])), new
+        if moved < 0.1:
             break
-    out = {}
-    for n in names:
-        if n in anchors:
-            out[n] = (elo[n], elo[n], elo[n])
-        else:
-            ll = likelihood(n)
-            near = grid[ll >= ll.max() - 1.92]
-            out[n] = (elo[n], float(near[0]), float(near[-1]))
+    grid = elo_grid(opposed(), "player", F.col("foe_elo"), F.col("points"), F.col("games"), low, high)
+    fixed = F.create_map(*[F.lit(x) for kv in anchors.items() for x in kv]) if anchors else F.create_map().cast("map<string,double>")
+    known = F.element_at(fixed, F.col("player"))
+    out = grid.select("player", *[F.coalesce(known, F.col(c).cast("double")).alias(c) for c in ("rating", "ci_low", "ci_high")])
     return out
 
 

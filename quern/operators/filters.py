@@ -138,9 +138,15 @@ def near_mate(df: DataFrame, game: str, ply: str, mates: Column, near: int) -> D
 
 
 def leftover_marks(text: Column, tokens: str = r"<[A-Za-z0-9_]+>", around: int = 24, most: int = 8) -> Column:
-    """Context of ``<>{}`` characters that remain once known tokens are taken out."""
+    """The contexts of every ``<>{}`` character that remains once known tokens are taken out:
+    distinct, in order, line breaks as ``\\n``, the first ``most``."""
     bare = F.regexp_replace(text, tokens, "")
-    return F.slice(F.regexp_extract_all(bare, F.lit(f"(?s).{{0,{around}}}[<>{{}}].{{0,{around}}}"), F.lit(0)), 1, most)
+    parts = F.split(bare, "[<>{}]", -1)
+    numbers = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda k: k < F.size(parts))
+    places = F.transform(numbers, lambda k: F.length(F.array_join(F.slice(parts, 1, k), " ")) + 1)
+    begin = lambda i: F.greatest(i - around, F.lit(1))
+    near = F.transform(places, lambda i: F.replace(F.substring(bare, begin(i), i + around + 1 - begin(i)), F.lit("\n"), F.lit("\\n")))
+    return F.slice(F.array_sort(F.array_distinct(near)), 1, most)
 
 
 def unknown_tokens(text: Column, known: list[str], pattern: str = r"<[A-Za-z0-9_]+>") -> Column:

@@ -1,47 +1,78 @@
-"""Graders of generated answers: multisets of tokens, sections, move lists."""
+"""Graders of generated answers: multisets of tokens, sections, move lists, attacked squares."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import final_answer
 from .aggregates import multiset
 
-_TOKEN = r"<([a-z_0-9]+)>(\d*)"
-_MOVE = r"([a-h][1-8][a-h][1-8][qrbn]?)"
+# The tokens that graders read, each with an optional count, and a piece bound to its square.
+TOKEN = r"(<(?:SQUARE|PIECE)_[A-Z0-9]+>|<EMPTY>)(\d*)"
+PLACED = r"(<PIECE_[A-Z]+><SQUARE_[A-Z0-9]+>)"
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _sorted_matches(c: Column, pattern: str) -> Column:
+    return F.array_sort(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)))
+
+
+def _head_and_rest(c: Column) -> tuple[Column, Column]:
+    """A trimmed text up to its first blank, and what follows it."""
+    at = F.instr(c, " ")
+    return F.when(at > 0, F.substring(c, F.lit(1), at - 1)).otherwise(c), F.when(at > 0, F.substring(c, at + 1, F.length(c))).otherwise("")
+
+
+def _agree(pred: Column, gold: Column, *parts: Callable[[Column], Column]) -> Column:
+    """Whether every part of the two final answers is the same; a missing answer is wrong."""
+    a, b = _trimmed(final_answer(pred)), _trimmed(final_answer(gold))
+    out = F.lit(True)
+    for part in parts:
+        out = out & part(a).eqNullSafe(part(b))
+    return F.coalesce(out & a.isNotNull() & b.isNotNull(), F.lit(False))
 
 
 def multiset_equal(pred: Column, gold: Column) -> Column:
-    """Same tokens with the same counts in the final answers."""
-    return multiset(final_answer(pred), _TOKEN) == multiset(final_answer(gold), _TOKEN)
+    """Same tokens with the same counts."""
+    return _agree(pred, gold, lambda c: multiset(c, TOKEN))
 
 
 def anchored_equal(pred: Column, gold: Column) -> Column:
-    """The anchor (first token) must agree, and the rest as a multiset."""
-    a, b = final_answer(pred), final_answer(gold)
-    return (F.regexp_extract(a, _TOKEN, 1) == F.regexp_extract(b, _TOKEN, 1)) & (multiset(a, _TOKEN) == multiset(b, _TOKEN))
+    """The first token must agree, and all tokens as a multiset."""
+    return _agree(pred, gold, lambda c: F.regexp_extract(c, TOKEN, 1), lambda c: multiset(c, TOKEN))
 
 
 def exact_equal(pred: Column, gold: Column) -> Column:
-    return final_answer(pred) == final_answer(gold)
+    return _agree(pred, gold, lambda c: c)
 
 
-def sectioned_equal(pred: Column, gold: Column, mark: str = r"\|") -> Column:
-    """Sections compared in order, each as a multiset."""
-    cut = lambda c: F.transform(F.split(final_answer(c), mark), lambda s: multiset(s, _TOKEN))
-    return cut(pred) == cut(gold)
+def sectioned_equal(pred: Column, gold: Column) -> Column:
+    """Four lines, label, pieces, label, pieces: labels agree, each side's pieces as a multiset."""
+    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), _trimmed), lambda x: x != "")
+    four = lambda c: F.size(lines(c)) == 4
+    label = lambda k: lambda c: F.get(lines(c), F.lit(k))
+    pieces = lambda k: lambda c: multiset(F.get(lines(c), F.lit(k)), TOKEN)
+    whole = four(_trimmed(final_answer(pred))) & four(_trimmed(final_answer(gold)))
+    return F.coalesce(whole, F.lit(False)) & _agree(pred, gold, label(0), pieces(1), label(2), pieces(3))
 
 
 def move_list_equal(pred: Column, gold: Column) -> Column:
-    """The same set of moves, none given twice."""
-    moves = lambda c: F.array_sort(F.regexp_extract_all(final_answer(c), F.lit(_MOVE), F.lit(1)))
-    return moves(pred) == moves(gold)
+    """The queried part before the first blank agrees, and the moves between commas as a multiset."""
+    moves = lambda c: F.array_sort(F.filter(F.split(_head_and_rest(c)[1], ","), lambda m: m != ""))
+    return _agree(pred, gold, lambda c: _head_and_rest(c)[0], moves)
 
 
 def sides_equal(pred: Column, gold: Column) -> Column:
-    """Attackers and defenders, two parts around a semicolon, each as a multiset."""
-    return sectioned_equal(pred, gold, ";")
+    """The queried part agrees; then attackers, a blank and defenders, each as a multiset of placed pieces."""
+    rest = lambda c: _head_and_rest(c)[1]
+    part = lambda k: lambda c: _sorted_matches(_head_and_rest(rest(c))[k], PLACED)
+    return _agree(pred, gold, lambda c: _head_and_rest(c)[0], part(0), part(1))
 
 
 GRADERS = {"multiset": multiset_equal, "anchored": anchored_equal, "exact": exact_equal, "sectioned": sectioned_equal, "moves": move_list_equal, "sides": sides_equal}
@@ -64,9 +95,9 @@ TASK_GRADER = {
 
 
 def grade(task: Column, pred: Column, gold: Column) -> Column:
-    """Correctness by the task's grader; exact for unknown tasks."""
-    out = exact_equal(pred, gold)
+    """Correctness by the task's grader; the multiset of tokens for unknown tasks."""
+    out = multiset_equal(pred, gold)
     for name, kind in TASK_GRADER.items():
-        if kind != "exact":
+        if kind != "multiset":
             out = F.when(task == name, GRADERS[kind](pred, gold)).otherwise(out)
     return out

@@ -3,6 +3,7 @@ reproducible on any partitioning; counts that reach the driver are one per group
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,30 +132,37 @@ def interleave(df: DataFrame, stream: str, order: str, weights: dict[str, float]
 
 
 def smooth_round_robin(streams: dict[str, list], weights: dict[str, float]) -> list[tuple[str, int]]:
-    """Exact smooth weighted round-robin with dedup: (stream, ordinal from 1) in order.
+    """Smooth weighted round-robin with dedup: (stream, ordinal from 1) in order.
 
-    Every step each live stream gains its weight and the first richest one pays the sum of the
-    live weights and gives its next entry that no stream gave before (``None`` is always new);
-    a stream that has none left when its turn comes is out, so the others keep their ratios.
+    After n turns a stream is owed n times its share of the weights less what it gave; the one
+    that is owed most after the next turn gives next, the first of ties.  ``None`` rows are always
+    new, others must not have come from any stream; a stream without a new row leaves, and what the
+    others are owed stays as it is.
     """
-    credit = dict.fromkeys(weights, 0.0)
-    place = dict.fromkeys(weights, 0)
-    live, seen, out = list(weights), set(), []
-    while live:
-        total = sum(weights[s] for s in live)
-        for s in live:
-            credit[s] += weights[s]
-        best = max(live, key=lambda s: credit[s])
-        credit[best] -= total
-        rows, at = streams.get(best, []), place[best]
-        while at < len(rows) and rows[at] is not None and rows[at] in seen:
-            at += 1
-        place[best] = at + 1
-        if at >= len(rows):
-            live.remove(best)
-            continue
-        seen.add(rows[at])
-        out.append((best, at + 1))
+    import numpy as np
+
+    taken: set = set()
+
+    def new_rows(rows: list) -> Iterator[int]:
+        for ordinal, row in enumerate(rows, 1):
+            if row is None or row not in taken:
+                if row is not None:
+                    taken.add(row)
+                yield ordinal
+
+    names = np.array(list(weights), object)
+    share = np.array([float(weights[s]) for s in names])
+    supply = [new_rows(streams.get(s, [])) for s in names]
+    owed, active, out = np.zeros(len(names)), np.ones(len(names), bool), []
+    while active.any():
+        owed += np.where(active, share, 0.0)
+        turn = int(np.argmax(np.where(active, owed, -np.inf)))
+        owed[turn] -= share[active].sum()
+        ordinal = next(supply[turn], None)
+        if ordinal is None:
+            active[turn] = False
+        else:
+            out.append((str(names[turn]), ordinal))
     return out
 
 

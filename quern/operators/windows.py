@@ -91,16 +91,30 @@ def sliding(df: DataFrame, value: str, low: int, high: int) -> DataFrame:
 def best_leaf(nodes: DataFrame, levels: int) -> DataFrame:
     """Minimax over an edge table (tree, node, parent, ply, value, maximise): each level's values go
     to the parents, deepest first; returns tree, node, value, best (the child that was chosen)."""
-    known = nodes.select("tree", "node", "parent", "ply", "maximise", F.col("value"), F.lit(None).cast(dict(nodes.dtypes)["node"]).alias("best"))
-    for ply in range(levels, 0, -1):
-        kids = known.filter(F.col("ply") == ply).select("tree", F.col("parent").alias("node"), F.col("value").alias("__v"), F.col("node").alias("__c"))
-        up = kids.groupBy("tree", "node").agg(F.max_by("__c", F.struct("__v", -F.col("__c"))).alias("__hi"), F.max("__v").alias("__hv"), F.min_by("__c", F.struct("__v", "__c")).alias("__lo"), F.min("__v").alias("__lv"))
-        known = known.join(up, ["tree", "node"], "left")
-        has = F.col("__hv").isNotNull()
-        best = F.when(has, F.when(F.col("maximise"), F.col("__hi")).otherwise(F.col("__lo"))).otherwise(F.col("best"))
-        value = F.when(has, F.when(F.col("maximise"), F.col("__hv")).otherwise(F.col("__lv"))).otherwise(F.col("value"))
-        known = known.select("tree", "node", "parent", "ply", "maximise", value.alias("value"), best.alias("best"))
-    return known
+    kind = dict(nodes.dtypes)["node"]
+    level = lambda ply: nodes.filter(F.col("ply") == ply).select("tree", "node", "parent", "ply", "maximise", "value", F.lit(None).cast(kind).alias("best"))
+    below = level(levels)
+    out = below
+    for ply in range(levels - 1, -1, -1):  # only the new values go up
+        child = F.struct("value", "node")
+        kids = below.groupBy("tree", F.col("parent").alias("node")).agg(F.max_by("node", F.struct(F.col("value"), -F.col("node"))).alias("__hi"), F.max("value").alias("__hv"), F.min(child).alias("__low"))
+        at = level(ply).join(kids, ["tree", "node"], "left")
+        best = F.when(F.col("maximise"), F.col("__hi")).otherwise(F.col("__low.node"))
+        value = F.coalesce(F.when(F.col("maximise"), F.col("__hv")).otherwise(F.col("__low.value")), F.col("value"))
+        below = at.select("tree", "node", "parent", "ply", "maximise", value.alias("value"), best.alias("best"))
+        out = out.unionByName(below)
+    return out
+
+
+def root_paths(nodes: DataFrame, depth: int) -> DataFrame:
+    """tree, node, path, depth of all nodes (tree, node, parent) that hang on a node 1, one join a level."""
+    level = nodes.filter("node = 1").select("tree", "node", F.col("node").cast("string").alias("path"), F.lit(0).alias("depth"))
+    out = level
+    for k in range(1, depth + 1):
+        above = level.select("tree", F.col("node").alias("parent"), F.col("path").alias("__above"))
+        level = nodes.join(above, ["tree", "parent"]).select("tree", "node", F.concat_ws("/", "__above", F.col("node").cast("string")).alias("path"), F.lit(k).alias("depth"))
+        out = out.unionByName(level)
+    return out
 
 
 def prefixes(df: DataFrame, chain: str) -> DataFrame:

@@ -121,7 +121,7 @@ def running_cap_exact(spark, d):
 
 def leftover_marks(spark, d):
     """FLT15: pages whose text keeps angle or curly marks once plain tags are gone."""
-    p = table(spark, d, "pages").select("page_id", filters.leftover_marks(F.col("html"), r"</?[A-Za-z0-9]+>", 10, 3).alias("found"))
+    p = table(spark, d, "pages").select("page_id", filters.leftover_marks(F.col("html"), r"</?[A-Za-z0-9]+>", 10).alias("found"))
     return p.filter(F.size("found") > 0).groupBy(F.size("found").alias("found")).agg(F.count("*").alias("n"))
 
 
@@ -222,7 +222,9 @@ ORACLES = {
     "tail_downsample": f"SELECT doc_id, n_chars FROM documents WHERE n_chars <= 3000 OR {u(7, 'tail', 'doc_id')} < 0.1",
     "rate_thinning": f"SELECT doc_id, lang FROM documents JOIN (SELECT lang, count(*)::DOUBLE AS rate FROM documents GROUP BY lang) USING (lang) WHERE {u(7, 'rate', 'doc_id')} < least(1.0, 60.0 / rate)",
     "running_cap": "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= ceil(250.0 * event_id / 1000.0)",
-    "leftover_marks": r"SELECT found, count(*) AS n FROM (SELECT least(len(regexp_extract_all(regexp_replace(html, '</?[A-Za-z0-9]+>', '', 'g'), '(?s).{0,10}[<>{}].{0,10}')), 3) AS found FROM pages) WHERE found > 0 GROUP BY found",
+    "leftover_marks": r"""WITH b AS (SELECT page_id, regexp_replace(html, '</?[A-Za-z0-9]+>', '', 'g') AS b FROM pages),
+      c AS (SELECT DISTINCT page_id, replace(substr(b, greatest(i - 10, 1), i + 11 - greatest(i - 10, 1)), chr(10), '\n') AS c FROM (SELECT page_id, b, unnest(range(1, length(b) + 1)) AS i FROM b) WHERE substr(b, i, 1) IN ('<', '>', '{', '}')),
+      n AS (SELECT page_id, least(count(*), 8)::INT AS found FROM c GROUP BY 1) SELECT found, count(*) AS n FROM n GROUP BY 1""",
     "unknown_vocabulary": r"SELECT token, count(*) AS n_pages FROM (SELECT unnest(list_distinct(regexp_extract_all(regexp_replace(html, '<([a-z0-9]+)[^>]*>', '<\1>', 'g'), '<[a-z0-9]+>'))) AS token FROM pages) WHERE token NOT IN ('<html>','<head>','<body>','<title>','<p>','<div>','<ul>','<li>','<a>','<nav>') GROUP BY token",
     "accepted_only": "SELECT count(*) FILTER (quality = 1) AS accepted, count(*) FILTER (quality IS DISTINCT FROM 1) AS skipped FROM labels",
     "unseen_keys": "SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)",

@@ -48,11 +48,12 @@ def cache_subsumption(spark, d):
 
 
 def _paths(spark, d):
-    """Event types of each user's first to fourth events as paths of a group."""
+    """Event types of all runs of one to four events of each user as paths of a group."""
     e = table(spark, d, "events").select("user_id", "event_id", "event_type")
-    rn = e.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter("rn <= 4")
-    seq = rn.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "event_type"))), lambda x: x["event_type"]).alias("seq"))
-    return seq.select((F.col("user_id") % 10).alias("g"), F.slice("seq", 1, (F.col("user_id") % 4 + 1).cast("int")).alias("path")).distinct()
+    rn = e.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    run = F.floor((F.col("rn") - 1) / (F.col("user_id") % 4 + 1)).alias("run")
+    seq = rn.groupBy("user_id", run).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "event_type"))), lambda x: x["event_type"]).alias("path"))
+    return seq.select((F.col("user_id") % 10).alias("g"), "path").distinct()
 
 
 def dominated_rows(spark, d):
@@ -103,7 +104,7 @@ def solution_match(spark, d):
 def aligned_join(spark, d):
     """JN11: samples and generations joined by place and id."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("place"), F.md5(F.col("doc_id").cast("string")).alias("sample_id"), "lang")
-    gen = docs.filter("place < 50").select("place", "sample_id", F.upper("lang").alias("answer"))
+    gen = docs.select("place", "sample_id", F.upper("lang").alias("answer"))
     return joins.aligned(docs, gen, "place", "sample_id").groupBy("answer").agg(F.count("*").alias("n"))
 
 
@@ -290,7 +291,7 @@ def capped_sequences(spark, d):
 def sliding_windows_distinct(spark, d):
     """WIN16: windows of two to four events without a repeated type."""
     e = table(spark, d, "events").select("user_id", "event_id", "event_type")
-    seq = e.groupBy("user_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), 1, 20).alias("s"))
+    seq = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("s"))
     return windows.sliding(seq, "s", 2, 4).groupBy("size", F.array_join("window", ">").alias("w")).agg(F.count("*").alias("n"))
 
 
@@ -307,21 +308,21 @@ def history_window(spark, d):
 
 
 def _tree(spark, d):
-    """A binary tree of 127 nodes from the first events: parent = node div 2."""
-    e = table(spark, d, "events").filter("event_id between 1 and 127").select(F.lit(0).alias("tree"), F.col("event_id").cast("int").alias("node"), F.floor(F.col("event_id") / 2).cast("int").alias("parent"), "value")
+    """All events as binary trees of 127 nodes each: parent = node div 2."""
+    node = (F.col("event_id") % 127 + 1).cast("int")
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 127).alias("tree"), node.alias("node"), F.floor(node / 2).cast("int").alias("parent"), "value")
     ply = F.floor(F.log2(F.col("node").cast("double")) + 1e-9).cast("int")
     return e.withColumn("ply", ply).withColumn("maximise", F.col("ply") % 2 == 0)
 
 
 def minimax_levels(spark, d):
-    """ITR9: values of a game tree, deepest level first."""
-    return windows.best_leaf(_tree(spark, d), 6).select("node", F.round("value", 6).alias("value"), "best")
+    """ITR9: values of game trees, deepest level first."""
+    return windows.best_leaf(_tree(spark, d), 6).select("tree", "node", F.round("value", 6).alias("value"), "best")
 
 
 def path_enumeration(spark, d):
-    """ITR14: root paths by a recursive query."""
-    _tree(spark, d).createOrReplaceTempView("quern_tree")
-    return spark.sql("WITH RECURSIVE p(node, path, depth) AS (SELECT node, CAST(node AS STRING), 0 FROM quern_tree WHERE node = 1 UNION ALL SELECT t.node, concat(p.path, '/', t.node), depth + 1 FROM p JOIN quern_tree t ON t.parent = p.node) SELECT * FROM p")
+    """ITR14: root paths of all trees, a join a level."""
+    return windows.root_paths(_tree(spark, d).select("tree", "node", "parent"), 6)
 
 
 def trie_prefixes(spark, d):
@@ -338,7 +339,7 @@ def top_terms(spark, d):
 
 def alternating_merge(spark, d):
     """SRT9: two ranked lists merged by turns."""
-    li = table(spark, d, "lineitem").filter("l_orderkey < 500").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
     rank = F.row_number().over(Window.partitionBy("l_suppkey", (F.col("l_returnflag") == "R")).orderBy("l_orderkey", "l_linenumber"))
     r = li.withColumn("place", rank)
     return windows.alternate(r.filter("l_returnflag = 'R'"), r.filter("l_returnflag <> 'R'"), ["l_suppkey"], "place").select("l_suppkey", "l_orderkey", "l_linenumber", "source", "position")
@@ -357,8 +358,9 @@ def top_limit(spark, d):
 
 def union_all(spark, d):
     """SET1, SNK10: same-schema parts put together, copies kept."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return o.filter("o_orderstatus = 'F'").unionByName(o.filter("o_orderkey % 2 = 0")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    s = table(spark, d, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))
+    return c.unionByName(s).groupBy("nation").agg(F.count("*").alias("n"), F.max("balance").alias("most"))
 
 
 def set_difference(spark, d):
@@ -382,8 +384,8 @@ def ordered_distinct(spark, d):
 
 QUERIES = {f.__name__: f for f in (request_dedup_joinback, one_to_one_join, positions_games, best_vs_played, cache_subsumption, dominated_rows, prefix_dominated, first_divergence, parent_child, pairings_chain, pairings_round_robin, pairings_star, solution_match, aligned_join, topk_classes, task_accuracy_rollup, benchmark_rates, match_scores, elo_grid_fit, association_ratio, widened_wins, nested_histograms, multilabel_counts, regret_rates, common_steps, ordered_steps, repetition_count, feature_percentiles, throughput_rates, byte_length, clean_prefix, earliest_block, candidate_labels, inject_best, fill_candidates, cumulative_coverage, relative_breadth, previous_event, index_shard, length_slice, worst_first, capped_sequences, sliding_windows_distinct, streak_two, history_window, minimax_levels, path_enumeration, trie_prefixes, top_terms, alternating_merge, dominant_feature, top_limit, union_all, set_difference, completeness, ordered_distinct)}
 
-_TREE = "SELECT event_id::INT AS node, (event_id // 2)::INT AS parent, value, floor(log2(event_id::DOUBLE) + 1e-9)::INT AS ply FROM events WHERE event_id BETWEEN 1 AND 127"
-_PATHS = "SELECT DISTINCT user_id % 10 AS g, s[1:user_id % 4 + 1] AS path FROM (SELECT user_id, (list(event_type ORDER BY event_id))[1:4] AS s FROM events GROUP BY user_id)"
+_TREE = "SELECT event_id // 127 AS tree, (event_id % 127 + 1)::INT AS node, ((event_id % 127 + 1) // 2)::INT AS parent, value, floor(log2((event_id % 127 + 1)::DOUBLE) + 1e-9)::INT AS ply FROM events"
+_PATHS = "SELECT DISTINCT user_id % 10 AS g, path FROM (SELECT user_id, list(event_type ORDER BY event_id) AS path FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) GROUP BY user_id, (rn - 1) // (user_id % 4 + 1))"
 _TXT = "',' || array_to_string({}, ',') || ','"
 ORACLES = {
     "request_dedup_joinback": "SELECT l_partkey, round(sum(l_quantity * p_retailprice), 2) AS worth FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1",
@@ -403,7 +405,7 @@ ORACLES = {
     "pairings_round_robin": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_name < b.n_name",
     "pairings_star": "SELECT (SELECT min(n_name) FROM nation) AS a, n_name AS b FROM nation WHERE n_name <> (SELECT min(n_name) FROM nation)",
     "solution_match": "WITH s AS (SELECT user_id, list(event_type ORDER BY event_id) AS s FROM events GROUP BY 1) SELECT user_id, len(s) >= 2 AND (s[1:5][1:2] = s[-2:] OR s[1:5][-2:] = s[-2:]) AS hit FROM s",
-    "aligned_join": "SELECT upper(lang) AS answer, count(*) AS n FROM documents WHERE doc_id < 50 GROUP BY 1",
+    "aligned_join": "SELECT upper(lang) AS answer, count(*) AS n FROM documents GROUP BY 1",
     "topk_classes": r"SELECT lower(regexp_extract(html, '<title>(\w+)', 1)) AS class, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, class LIMIT 40",
     "task_accuracy_rollup": "SELECT lang, count(*) AS n, avg(((n_chars > 300) = (quality = 1))::INT::DOUBLE) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)",
     "benchmark_rates": "SELECT count(*) AS n, avg((quality = 1)::INT::DOUBLE) AS good, avg((toxic = 1)::INT::DOUBLE) AS toxic, avg((quality = 1 AND toxic = 1)::INT::DOUBLE) AS both FROM labels",
@@ -441,21 +443,21 @@ ORACLES = {
     "length_slice": "SELECT doc_id, rn FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS rn FROM documents) WHERE rn > (SELECT count(*) * 90 // 100 FROM documents)",
     "worst_first": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) = 1",
     "capped_sequences": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 10",
-    "sliding_windows_distinct": """WITH s AS (SELECT user_id, (list(event_type ORDER BY event_id))[1:20] AS s FROM events GROUP BY 1), z AS (SELECT s, size, i FROM s, range(2, 5) t(size), range(1, 20) q(i) WHERE i + size - 1 <= len(s)),
+    "sliding_windows_distinct": """WITH s AS (SELECT user_id, list(event_type ORDER BY event_id) AS s FROM events GROUP BY 1), z AS (SELECT s, size, unnest(range(1, len(s) - size + 2)) AS i FROM s, range(2, 5) t(size)),
       w AS (SELECT size, s[i:i + size - 1] AS w FROM z) SELECT size, array_to_string(w, '>') AS w, count(*) AS n FROM w WHERE len(list_distinct(w)) = size GROUP BY 1, 2""",
     "streak_two": "WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events), q AS (SELECT *, rn - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM r WHERE value > 60) SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS length FROM q GROUP BY user_id, run HAVING count(*) >= 2",
     "history_window": "SELECT event_id, coalesce(string_agg(event_type, ',') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), '') AS history FROM events",
-    "minimax_levels": f"""WITH RECURSIVE t AS ({_TREE}), v(node, parent, ply, value, best, lvl) AS (SELECT node, parent, ply, value, NULL::INT, 6 FROM t WHERE ply = 6 OR node * 2 > 127
-      UNION ALL SELECT p.node, p.parent, p.ply, CASE WHEN p.ply % 2 = 0 THEN max(c.value) ELSE min(c.value) END, CASE WHEN p.ply % 2 = 0 THEN arg_max(c.node, (c.value, -c.node)) ELSE arg_min(c.node, (c.value, c.node)) END, min(c.lvl) - 1
-      FROM v c JOIN t p ON p.node = c.parent AND p.ply = c.lvl - 1 GROUP BY p.node, p.parent, p.ply) SELECT node, round(value, 6) AS value, best FROM v""",
-    "path_enumeration": f"WITH RECURSIVE t AS ({_TREE}), p(node, path, depth) AS (SELECT node, node::VARCHAR, 0 FROM t WHERE node = 1 UNION ALL SELECT t.node, p.path || '/' || t.node, depth + 1 FROM p JOIN t ON t.parent = p.node) SELECT node, path, depth FROM p",
+    "minimax_levels": f"""WITH RECURSIVE t AS ({_TREE}), v(tree, node, parent, ply, value, best, lvl) AS (SELECT tree, node, parent, ply, value, NULL::INT, 6 FROM t WHERE ply = 6
+      UNION ALL SELECT p.tree, p.node, p.parent, p.ply, CASE WHEN count(c.node) = 0 THEN p.value WHEN p.ply % 2 = 0 THEN max(c.value) ELSE min(c.value) END, CASE WHEN p.ply % 2 = 0 THEN arg_max(c.node, (c.value, -c.node)) ELSE arg_min(c.node, (c.value, c.node)) END, p.ply
+      FROM t p JOIN (SELECT max(lvl) AS lvl FROM v) l ON p.ply = l.lvl - 1 LEFT JOIN v c ON p.tree = c.tree AND p.node = c.parent GROUP BY p.tree, p.node, p.parent, p.ply, p.value) SELECT tree, node, round(value, 6) AS value, best FROM v""",
+    "path_enumeration": f"WITH RECURSIVE t AS ({_TREE}), p(tree, node, path, depth) AS (SELECT tree, node, node::VARCHAR, 0 FROM t WHERE node = 1 UNION ALL SELECT t.tree, t.node, p.path || '/' || t.node, depth + 1 FROM p JOIN t ON t.tree = p.tree AND t.parent = p.node) SELECT tree, node, path, depth FROM p",
     "trie_prefixes": "WITH c AS (SELECT list(role ORDER BY turn, role) AS s FROM conversations GROUP BY conv_id) SELECT array_to_string(s[1:k], ',') AS prefix, k::INT AS depth, count(*) AS n FROM c, range(1, 200) t(k) WHERE k <= len(s) GROUP BY 1, 2",
     "top_terms": "WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity - 25 AS delta, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(l_quantity - 25) DESC, l_linenumber) AS place FROM lineitem) SELECT l_orderkey, l_linenumber, place FROM r WHERE place <= 3 AND (abs(delta) >= 8 OR place = 1)",
-    "alternating_merge": """WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'a' ELSE 'b' END AS source, row_number() OVER (PARTITION BY l_suppkey, l_returnflag = 'R' ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem WHERE l_orderkey < 500),
+    "alternating_merge": """WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'a' ELSE 'b' END AS source, row_number() OVER (PARTITION BY l_suppkey, l_returnflag = 'R' ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem),
       s AS (SELECT *, CASE WHEN source = 'a' AND k <= 3 THEN [0, 1, 3][k] WHEN source = 'b' AND k <= 3 THEN [2, 4, 5][k] WHEN source = 'a' THEN k + 6 ELSE k + 1000006 END AS slot FROM r) SELECT l_suppkey, l_orderkey, l_linenumber, source, row_number() OVER (PARTITION BY l_suppkey ORDER BY slot) AS position FROM s""",
     "dominant_feature": "WITH s AS (SELECT l_orderkey, l_linenumber, abs(l_quantity) / (l_linenumber * 10.0) AS size FROM lineitem) SELECT l_orderkey, arg_max(l_linenumber, (size, l_linenumber)) AS dominant, round(max(size), 6) AS size FROM s GROUP BY 1 HAVING max(size) >= 1",
     "top_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
-    "union_all": "SELECT o_orderstatus, count(*) AS n FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT * FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1",
+    "union_all": "SELECT nation, count(*) AS n, max(balance) AS most FROM (SELECT c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) GROUP BY 1",
     "set_difference": "WITH s AS (SELECT user_id, list(event_type ORDER BY event_id) AS s FROM events GROUP BY 1) SELECT user_id, array_to_string(list_sort(list_filter(list_distinct(s[len(s) // 2 + 1:]), lambda x: NOT list_contains(s[1:len(s) // 2], x))), ',') AS new FROM s",
     "completeness": "SELECT count(*) AS missing FROM documents ANTI JOIN labels USING (doc_id)",
     "ordered_distinct": "WITH f AS (SELECT user_id, event_type, min(event_id) AS a FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type, ',' ORDER BY a) AS types FROM f GROUP BY 1",

@@ -8,24 +8,26 @@ from ..functions import evals, text
 from ..operators import aggregates, grading
 from .common import table
 
-_ANSWERS = [
-    (1, "Think.\n\n<sq_a1><wp>2", "x\n\n<sq_a1><wp>2", "multiset"),
-    (2, "x\n\n<wp>2<sq_a1>", "x\n\n<sq_a1><wp>2", "multiset"),
-    (3, "x\n\n<wp>2<sq_a1>", "x\n\n<sq_a1><wp>2", "anchored"),
-    (4, "<wp><wp><bk>", "<bk><wp>2", "multiset"),
-    (5, "a\n\nyes ", "b\n\nyes", "exact"),
-    (6, "<wp>|<bk>", "<bk>|<wp>", "sectioned"),
-    (7, "e2e4, e7e8q", "e7e8q,e2e4", "moves"),
-    (8, "e2e4", "e2e4,e2e4", "moves"),
-    (9, "<wp><bk>;<wq>", "<bk><wp>;<wq>", "sides"),
-    (10, "", "<wp>", "multiset"),
+_ANSWERS = [  # id, answer, truth, grader, whether it is right
+    (1, "Think.\n\n<SQUARE_A1><PIECE_WP>2", "x\n\n<PIECE_WP><SQUARE_A1><PIECE_WP>", "multiset", True),
+    (2, "<PIECE_WP>2", "<PIECE_WP>", "multiset", False),
+    (3, "<SQUARE_9><PIECE_MK>", "<SQUARE_9><PIECE_MK>", "anchored", True),
+    (4, "<PIECE_MK><SQUARE_9>", "<SQUARE_9><PIECE_MK>", "anchored", False),
+    (5, "a\n\nyes ", "b\n\nyes", "exact", True),
+    (6, "a\n\nno", "b\n\nyes", "exact", False),
+    (7, "white\n<PIECE_WP>8<PIECE_WK>\nblack\n<PIECE_BK>", "white\n<PIECE_WK><PIECE_WP>8\nblack\n<PIECE_BK>", "sectioned", True),
+    (8, "white\n<PIECE_BK>\nblack\n<PIECE_WK>", "white\n<PIECE_WK>\nblack\n<PIECE_BK>", "sectioned", False),
+    (9, "<PIECE_MN><SQUARE_7> a,b", "<PIECE_MN><SQUARE_7> b,a", "moves", True),
+    (10, "<PIECE_MN><SQUARE_7> a,a", "<PIECE_MN><SQUARE_7> a", "moves", False),
+    (11, "<SQUARE_7> <PIECE_MP><SQUARE_2><PIECE_MK><SQUARE_3> <PIECE_OQ><SQUARE_9>", "<SQUARE_7> <PIECE_MK><SQUARE_3><PIECE_MP><SQUARE_2> <PIECE_OQ><SQUARE_9>", "sides", True),
+    (12, "<SQUARE_7> <PIECE_OQ><SQUARE_9> <PIECE_MP><SQUARE_2>", "<SQUARE_7> <PIECE_MP><SQUARE_2> <PIECE_OQ><SQUARE_9>", "sides", False),
+    (13, "nothing that is asked", "<PIECE_WP>", "multiset", False),
 ]
-_WANT = [True, True, False, True, True, False, True, False, True, False]
 
 
 def token_grades(spark, d):
     """Graders on inline answers: multiset, anchored, exact, sectioned, move list, two sides."""
-    df = spark.createDataFrame(_ANSWERS, "id int, pred string, gold string, kind string")
+    df = spark.createDataFrame(_ANSWERS, "id int, pred string, gold string, kind string, right boolean")
     out = F.lit(None).cast("boolean")
     for name, fn in grading.GRADERS.items():
         out = F.when(F.col("kind") == name, fn(F.col("pred"), F.col("gold"))).otherwise(out)
@@ -55,9 +57,9 @@ def section_replace(spark, d):
 
 
 def final_answer(spark, d):
-    """STR2: what follows the last blank line of two joined lines."""
-    docs = table(spark, d, "documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("a"), F.element_at(F.split("text", "\n"), -1).alias("b"))
-    return docs.select("doc_id", F.md5(text.final_answer(F.concat_ws("\n\n", "a", "b"))).alias("answer"))
+    """STR2: what follows the last blank line; here after the first line break becomes one."""
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "^([^\n]*)\n", "$1\n\n").alias("t"))
+    return docs.select("doc_id", F.md5(text.final_answer(F.col("t"))).alias("answer"))
 
 
 def after_tag(spark, d):
@@ -80,7 +82,7 @@ def count_suffix(spark, d):
 
 def collate(spark, d):
     """STR18, STR19: ids of constant length with attention and label masks."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role", F.transform(F.slice(F.split("text", " "), 1, 40), lambda w: F.length(w)).alias("ids"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"))
     return c.select("conv_id", "turn", "role", F.md5(F.array_join(text.pad_right(F.col("ids"), 16, -1), ",")).alias("ids"), F.array_join(text.mask(F.col("ids"), 16), "").alias("mask"), F.md5(F.array_join(text.label_mask(F.col("ids"), F.lit(3)), ",")).alias("labels"))
 
 
@@ -114,7 +116,7 @@ def expected_scores(spark, d):
 
 def verdict_bands(spark, d):
     """STR20, STR21: phrase of a value, and a value of the phrase."""
-    c = table(spark, d, "customer").select("c_custkey", evals.verdict(F.col("c_acctbal") / 1500).alias("phrase"))
+    c = table(spark, d, "customer").select("c_custkey", evals.verdict(F.col("c_acctbal") / 1500, F.col("c_custkey") % 50 == 0).alias("phrase"))
     return c.select("c_custkey", "phrase", evals.verdict_value(F.col("phrase")).alias("value"))
 
 
@@ -173,13 +175,13 @@ def blake_digests(spark, d):
 QUERIES = {f.__name__: f for f in (token_grades, token_multiset, section_map, section_replace, final_answer, after_tag, oxford_join, count_suffix, collate, chat_instance, aliased_columns, winrates, expected_scores, verdict_bands, integer_math, square_math, parsed_evaluations, reanchored, polymorphic_rows, lookup_crc, row_digests, blake_digests)}
 
 _TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
-_IDS = "list_transform(string_split(text, ' ')[1:40], lambda w: length(w))"
+_IDS = "list_transform(string_split(text, ' '), lambda w: length(w))"
 ORACLES = {
-    "token_grades": f"SELECT * FROM (VALUES {', '.join(f'({k + 1}, {str(v).upper()})' for k, v in enumerate(_WANT))}) t(id, correct)",
+    "token_grades": f"SELECT * FROM (VALUES {', '.join(f'({k}, {str(right).upper()})' for k, _, _, _, right in _ANSWERS)}) t(id, correct)",
     "token_multiset": r"WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z0-9]+)[^>]*>', 1)) AS token FROM pages), m AS (SELECT page_id, token, count(*) AS n FROM t GROUP BY 1, 2) SELECT token, count(*) AS pages, max(n) AS most FROM m GROUP BY 1",
     "section_map": f"SELECT page_id, trim({_TITLE} || chr(10) || 'more', ' ' || chr(10) || chr(9)) AS analysis, 'd2d4' AS best, page_id::VARCHAR AS evaluation, NULL::VARCHAR AS line FROM pages",
     "section_replace": "SELECT page_id, 'ANALYSIS: a' || chr(10) || 'EVALUATION: +0.50' || chr(10) || 'BEST_MOVE: e2e4' || chr(10) AS text FROM pages",
-    "final_answer": "SELECT doc_id, md5(trim(string_split(text, chr(10))[-1], ' ')) AS answer FROM documents",
+    "final_answer": "SELECT doc_id, md5(trim(string_split(regexp_replace(text, '^([^\n]*)\n', '\\1' || chr(10) || chr(10)), chr(10) || chr(10))[-1], ' ')) AS answer FROM documents",
     "after_tag": "SELECT page_id, md5(trim(CASE WHEN contains(html, '</nav>') THEN substr(html, instr(html, '</nav>') + 6) ELSE html END, ' ')) AS rest FROM pages",
     "oxford_join": "WITH s AS (SELECT n_regionkey, list_sort(list(n_name)) AS s FROM nation GROUP BY 1) SELECT n_regionkey, array_to_string(s[:-2], ', ') || ', and ' || s[-1] AS prose, s[1] || ' or ' || s[2] AS two FROM s",
     "count_suffix": "WITH e AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, string_agg('<' || event_type || '>' || CASE WHEN n > 1 THEN n::VARCHAR ELSE '' END, '' ORDER BY event_type) AS tag FROM e GROUP BY 1",
@@ -188,9 +190,10 @@ ORACLES = {
     "aliased_columns": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE lower(n_name) END AS name, (len(string_split(n_name, ' ')) * (1 + (n_nationkey % 2 = 0)::INT))::INT AS words FROM nation",
     "winrates": "SELECT c_custkey, round(1 / (1 + exp(greatest(-60.0, least(60.0, -0.00368208 * c_acctbal)))), 9) AS rate, round(50 + 50 * (2 / (1 + exp(-0.00368208 * greatest(-1500.0, least(1500.0, c_acctbal)))) - 1), 6) AS percent FROM customer",
     "expected_scores": "SELECT p_partkey, round(1 / (1 + pow(10.0::DOUBLE, (1500.0 - p_retailprice) / 400)), 9) AS e FROM part",
-    "verdict_bands": """WITH v AS (SELECT c_custkey, c_acctbal / 1500 AS p FROM customer), w AS (SELECT *, CASE WHEN p > 0 THEN 'white' ELSE 'black' END AS s, abs(p) AS a FROM v)
-      SELECT c_custkey, CASE WHEN a < 0.3 THEN 'equal' WHEN a < 0.8 THEN s || ' is slightly better' WHEN a < 1.8 THEN s || ' is better' WHEN a < 5 THEN s || ' is much better' ELSE s || ' is winning' END AS phrase,
-             CASE WHEN a < 0.3 THEN 0.0 ELSE CASE WHEN s = 'black' THEN -1 ELSE 1 END * CASE WHEN a < 0.8 THEN 0.5 WHEN a < 1.8 THEN 1.2 WHEN a < 5 THEN 3.0 ELSE 6.0 END END::DOUBLE AS value FROM w""",
+    "verdict_bands": """WITH b(phrase, low, high) AS (VALUES ('slightly better', 0.1, 0.3), ('slightly better-to-better', 0.3, 0.6), ('better', 0.6, 1.0), ('better-to-much better', 1.0, 1.5), ('much better', 1.5, 2.5), ('much better-to-winning', 2.5, 4.0), ('winning', 4.0, NULL)),
+      v AS (SELECT c_custkey, c_acctbal / 1500 AS p, c_custkey % 50 = 0 AS mate FROM customer)
+      SELECT c_custkey, CASE WHEN p >= 0 THEN 'white' ELSE 'black' END || ' is ' || b.phrase AS phrase, (CASE WHEN p >= 0 THEN 1 ELSE -1 END * coalesce((low + high) / 2, low))::DOUBLE AS value
+      FROM v LEFT JOIN b ON CASE WHEN mate THEN high IS NULL ELSE abs(p) >= low AND (high IS NULL OR abs(p) < high) END""",
     "integer_math": "SELECT p_partkey, (p_size * 7 - 150)::BIGINT // 4 AS q, ((p_size * 7 - 150) * (p_partkey % 129) + (40 - p_size * 3) * (128 - p_partkey % 129))::BIGINT // 128 AS v FROM part",
     "square_math": "WITH s AS (SELECT p_partkey, (p_partkey % 64)::INT AS a, (p_size % 64)::INT AS b FROM part) SELECT p_partkey, xor(a, 56) AS mirror, greatest(abs((a & 7) - (b & 7)), abs((a >> 3) - (b >> 3)))::INT AS distance, bit_count(xor(a, b))::INT AS bits FROM s",
     "parsed_evaluations": """WITH c AS (SELECT c_custkey, round(c_acctbal)::BIGINT AS cp FROM customer),

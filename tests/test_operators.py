@@ -131,12 +131,16 @@ def test_first_difference(spark):
     assert [r[0] for r in df.select(joins.first_difference(F.col("a"), F.col("b"))).collect()] == [None, 1, 1, None, 0]
 
 
-def test_ratings():
-    got = aggregates.fit_ratings([("a", "b", 5.0, 10), ("b", "c", 7.5, 10)], {"a": 1500.0})
-    assert got["a"] == (1500.0,) * 3 and got["b"][0] == 1500.0 and got["c"][0] < 1400
+def test_ratings(spark):
+    def fit(rows, anchors):
+        df = frame(spark, rows, "a string, b string, score_a double, games int")
+        return {r.player: (r.rating, r.ci_low, r.ci_high) for r in aggregates.joint_ratings(df, anchors).collect()}
+
+    got = fit([("a", "b", 5.0, 10), ("b", "c", 7.5, 10)], {"a": 1500.0})
+    assert got["a"] == (1500.0,) * 3 and got["b"][0] == 1500.0
+    assert got["c"][0] == 1309.0  # 1500 less 400 log10(3)
     assert got["b"][1] < got["b"][0] < got["b"][2]
-    sure = aggregates.fit_ratings([("a", "b", 10.0, 10)], {"a": 1500.0})
-    assert sure["b"][0] == -200.0
+    assert fit([("a", "b", 10.0, 10)], {"a": 1500.0})["b"][0] == -200.0
 
 
 def test_guards(spark):
