@@ -42,14 +42,14 @@ def verdict(pawns: Column, mate: Column | bool = False) -> Column:
 
 
 def verdict_value(text: Column) -> Column:
-    """The middle of the band that the longest phrase in a text names (its least for ``winning``),
-    negative where black is the side; null without a phrase."""
+    """Pawns for white that a verdict text stands for: the middle of the band of the longest phrase it
+    holds, 5 for ``winning``; 0 without a phrase or without a side in front."""
     tops = dict(zip(list(VERDICTS)[1:], VERDICTS.values(), strict=False))
-    size = F.lit(None).cast("double")
+    t = F.lower(text)
+    size = F.lit(0.0)
     for name in sorted(VERDICTS, key=len):  # the longest is asked for first
-        value = (VERDICTS[name] + tops[name]) / 2 if name in tops else VERDICTS[name]
-        size = F.when(text.contains(name), value).otherwise(size)
-    return F.when(text.contains("black is"), -size).otherwise(size)
+        size = F.when(t.contains(name), (VERDICTS[name] + tops[name]) / 2 if name in tops else 5.0).otherwise(size)
+    return F.when(t.rlike(r"^\s*white"), size).when(t.rlike(r"^\s*black"), -size).otherwise(0.0)
 
 
 def show_evaluation(cp: Column) -> Column:

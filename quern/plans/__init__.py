@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list[str] = ["curation", "sampling", "relational", "text", "chess", "packing"]
+_MODULES: list[str] = ["curation", "sampling", "relational", "text", "chess", "packing", "lineage"]
 
 
 def _modules():

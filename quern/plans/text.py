@@ -117,7 +117,7 @@ def expected_scores(spark, d):
 def verdict_bands(spark, d):
     """STR20, STR21: phrase of a value, and a value of the phrase."""
     c = table(spark, d, "customer").select("c_custkey", evals.verdict(F.col("c_acctbal") / 1500, F.col("c_custkey") % 50 == 0).alias("phrase"))
-    return c.select("c_custkey", "phrase", evals.verdict_value(F.col("phrase")).alias("value"))
+    return c.select("c_custkey", "phrase", F.coalesce(evals.verdict_value(F.col("phrase")), F.lit(0.0)).alias("value"))
 
 
 def integer_math(spark, d):
@@ -192,7 +192,7 @@ ORACLES = {
     "expected_scores": "SELECT p_partkey, round(1 / (1 + pow(10.0::DOUBLE, (1500.0 - p_retailprice) / 400)), 9) AS e FROM part",
     "verdict_bands": """WITH b(phrase, low, high) AS (VALUES ('slightly better', 0.1, 0.3), ('slightly better-to-better', 0.3, 0.6), ('better', 0.6, 1.0), ('better-to-much better', 1.0, 1.5), ('much better', 1.5, 2.5), ('much better-to-winning', 2.5, 4.0), ('winning', 4.0, NULL)),
       v AS (SELECT c_custkey, c_acctbal / 1500 AS p, c_custkey % 50 = 0 AS mate FROM customer)
-      SELECT c_custkey, CASE WHEN p >= 0 THEN 'white' ELSE 'black' END || ' is ' || b.phrase AS phrase, (CASE WHEN p >= 0 THEN 1 ELSE -1 END * coalesce((low + high) / 2, low))::DOUBLE AS value
+      SELECT c_custkey, CASE WHEN p >= 0 THEN 'white' ELSE 'black' END || ' is ' || b.phrase AS phrase, CASE WHEN b.phrase IS NULL THEN 0.0 ELSE CASE WHEN p >= 0 THEN 1 ELSE -1 END * CASE WHEN high IS NULL THEN 5 ELSE (low + high) / 2 END END::DOUBLE AS value
       FROM v LEFT JOIN b ON CASE WHEN mate THEN high IS NULL ELSE abs(p) >= low AND (high IS NULL OR abs(p) < high) END""",
     "integer_math": "SELECT p_partkey, (p_size * 7 - 150)::BIGINT // 4 AS q, ((p_size * 7 - 150) * (p_partkey % 129) + (40 - p_size * 3) * (128 - p_partkey % 129))::BIGINT // 128 AS v FROM part",
     "square_math": "WITH s AS (SELECT p_partkey, (p_partkey % 64)::INT AS a, (p_size % 64)::INT AS b FROM part) SELECT p_partkey, xor(a, 56) AS mirror, greatest(abs((a & 7) - (b & 7)), abs((a >> 3) - (b >> 3)))::INT AS distance, bit_count(xor(a, b))::INT AS bits FROM s",
