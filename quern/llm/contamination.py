@@ -46,19 +46,23 @@ class Index:
         low = raw.tobytes().translate(_LOWER)
         spans = zip(words.start.tolist(), words.end.tolist(), strict=True)
         self.bytes_of: dict[int, bytes] = {}
-        for (a, b), h in zip(spans, words.hash.tolist(), strict=True):
-            if self.bytes_of.setdefault(h, low[a:b]) != low[a:b]:
-                raise ValueError("two benchmark words share a hash")
+        spelled = [low[a:b] for a, b in spans]
+        clash = {h for h, w in zip(words.hash.tolist(), spelled, strict=True) if self.bytes_of.setdefault(h, w) != w}
+        for h in clash:  # two words of the items share a hash: windows with it are told apart by their bytes
+            del self.bytes_of[h]
         self.names = [str(i) for i, _ in items]
-        found: dict[tuple[int, ...], list[int]] = {}
+        found: dict[tuple, list[int]] = {}
         for k in range(len(items)):
             own = words.hash[words.first[k] : words.first[k + 1]].tolist()
             step = min(size, len(own))
             for at in range(len(own) - step + 1 if step else 0):
-                holders = found.setdefault(tuple(own[at : at + step]), [])
+                seen = tuple(own[at : at + step])
+                first = int(words.first[k]) + at
+                holders = found.setdefault((seen, tuple(spelled[first : first + step]) if clash.intersection(seen) else None), [])
                 if not holders or holders[-1] != k:
                     holders.append(k)
-        self.windows = list(found)
+        self.windows = [w for w, _ in found]
+        self.spelled = {k: s for k, (_, s) in enumerate(found) if s is not None}
         self.holders = list(found.values())
         self.tokens = [scan.shingle_hashes(np.array(w, np.uint64), min(width, len(w))) for w in self.windows]
 
@@ -125,7 +129,12 @@ class Index:
         if not len(start):
             return start, which
         covered = self._cover(start, which, total)
-        wrong = [p for p in np.flatnonzero(covered).tolist() if low[words.start[p] : words.end[p]] != self.bytes_of[int(words.hash[p])]]
+        word = lambda p: low[words.start[p] : words.end[p]]
+        if self.spelled:
+            same = [w not in self.spelled or all(word(s + j) == x for j, x in enumerate(self.spelled[w])) for s, w in zip(start.tolist(), which.tolist(), strict=True)]
+            start, which = start[same], which[same]
+            covered = self._cover(start, which, total)
+        wrong = [p for p in np.flatnonzero(covered).tolist() if word(p) != self.bytes_of.get(int(words.hash[p]), word(p))]
         if wrong:  # an equal hash of another word: drop the windows over it
             marks = np.zeros(total + 1, np.int64)
             marks[np.array(wrong) + 1] = 1
