@@ -12,8 +12,9 @@ over the documents.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 ties go to the language first in order; equal counts are ranked by n-gram code;
-without any training row everything is ``und``.  Rows that repeat a doc_id each
-give a row.
+without any training row everything is ``und``; a null doc_id is not held out.  Rows
+that repeat a doc_id each give a row, an empty table none; very long texts are counted
+block by block; further columns are not read.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ _letters: list[np.ndarray] = []
 
 
 def held_out(doc_id: str | Column) -> Column:
-    """The fifth of the documents that learning never sees."""
-    return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0
+    """The fifth of the documents that learning never sees; a null doc_id is not among them."""
+    named = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.coalesce(F.crc32(named.cast("string")) % 5 == 0, F.lit(False))
 
 
 def letter_table() -> np.ndarray:
