@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,18 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_quern_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
@@ -60,3 +72,30 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Rows of one key that stay in one task, whatever the size; beyond, a key may hold a DEALT-th of all rows.
+KEY_ROWS, DEALT = 64, 2000
+
+
+def dealt_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` join ``side`` on ``key``, where ``side`` has a key once and ``rows`` may have it very often.
+
+    The rows of a hot key are dealt over several tasks by the column ``by``, and the side's row
+    goes to each of them.  A key is hot beyond ``KEY_ROWS`` rows and a ``DEALT``-th of all, so
+    there are at most ``DEALT`` of them.  ``counted`` stands for ``rows`` where that is cheaper to
+    count.  Null keys meet nothing and are dealt as well.
+    """
+    seen = rows if counted is None else counted
+    spark = rows.sparkSession
+    limit = max(KEY_ROWS, seen.count() // DEALT)
+    hot = seen.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit).collect()
+    if not hot and how != "left":
+        return rows.join(side, key, how)
+    parts, deal = fresh(rows, "__parts"), fresh(rows, "__deal")
+    sizes = pa.table({key: pa.array([r[0] for r in hot], pa.int64()), parts: pa.array([-(-r[1] // limit) for r in hot], pa.int64())})
+    sizes = F.broadcast(spark.createDataFrame(sizes))
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(by), F.lit(1 << 20))).otherwise(F.coalesce(F.pmod(F.xxhash64(by), F.col(parts)), F.lit(0)))
+    left = rows.join(sizes, key, "left").withColumn(deal, spread).drop(parts)
+    right = side.join(sizes, key, "left").withColumn(deal, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
+    return left.join(right, [key, deal], how).drop(deal)

@@ -167,6 +167,38 @@ def test_contamination_odd_rows(spark, odd, none):
     assert contamination.drop_contaminated(none, items).count() == 0
 
 
+def thue_morse(bits):
+    """A word over a and b and its complement, which polynomial hashes modulo a power of two cannot tell apart."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1 << bits))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", [3, 7, 10, 12])
+def test_structured_words_stay_apart(spark, bits):
+    a, b = thue_morse(bits)
+    df = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    if bits == 10:
+        assert {r.doc_id: r.component_id for r in setjoin.near_components(df, 3, 90, 100).collect()} == {1: 1, 2: 2, 3: 1}
+    items = spark.createDataFrame([(7, a), (8, b)], "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in contamination.contaminated(df, items, spans=True).collect()}
+    assert got == {1: ["7"], 2: ["8"], 3: ["7"]}
+
+
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    """With a hash of the length only, windows are found by their bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    scan = contamination.scan
+    monkeypatch.setattr(scan, "word_hashes", lambda low, start, end: scan.mix((end - start).astype(np.uint64)))
+    index = contamination.Index([(1, "ab cd ef"), (2, "ab xy ef")], 13, 3)
+    index.order({})
+    for text, want in (("q ab cd ef q", {0}), ("ab xy ef", {1}), ("ab zz ef", set())):
+        raw, offsets = scan.text_buffer(pa.array([text]))
+        words = scan.words_of(raw, offsets, scan.ALNUM, scan.ALNUM_FLAG)
+        assert {index.holders[w][0] for w in index.hits(words, contamination._Lowered(raw))[1].tolist()} == want
+
+
 def test_pipeline_against_plain_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rnd = random.Random(8)

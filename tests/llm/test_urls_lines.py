@@ -51,37 +51,47 @@ def test_suffix_and_domain(spark):
     assert [tuple(r) for r in df.select(s, d).collect()] == [("co.uk", "b.co.uk"), ("co.uk", "b.co.uk"), ("uk", "co.uk"), ("com", "example.com"), ("com", "com"), ("", "")]
 
 
-def brute(rows):
-    """Chunks, first occurrences and removed runs, plainly."""
+def words(line):
+    import re
+
+    return len(re.findall("[^ \t-\r]+", line))
+
+
+def brute(rows, least=50):
+    """Chunks of both resolutions, first occurrences, and runs grown from them, plainly."""
     import hashlib
 
     docs = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
-    chunk_list, first = {}, {}
-    for i, t in docs:
-        ls = t.split("\n")
-        w = [0 if x == "" else x.count(" ") + 1 for x in ls]
+    texts = [t.split("\n") for _, t in docs]
+    units, first = [], {}
+    for d, ls in enumerate(texts):
         num = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in ls]
-        out, cur = [], []
-        for k, x in enumerate(ls):
-            cur.append(k)
-            if k == len(ls) - 1 or w[k] >= 16 or w[k + 1] >= 16 or (num[k] + 7 * (num[k - 1] if k else 0)) % 3 == 0:
-                out.append(cur)
-                cur = []
-        chunk_list[i, t] = out
-        for n, c in enumerate(out):
-            first.setdefault(tuple(ls[k] for k in c), (i, n))
-    result = {}
-    for i, t in docs:
-        ls, gone, run = t.split("\n"), set(), []
-        for n, c in [*enumerate(chunk_list[i, t]), (-1, [])]:
-            if c and first[tuple(ls[k] for k in c)] != (i, n):
-                run += c
-            else:
-                if sum(0 if ls[k] == "" else ls[k].count(" ") + 1 for k in run) >= 50:
-                    gone |= set(run)
-                run = []
-        result[i, t] = "\n".join(x for k, x in enumerate(ls) if k not in gone)
-    return result
+        begin = 0
+        mine = [(k, 1) for k in range(len(ls))]
+        for k in range(len(ls)):
+            if k == len(ls) - 1 or (num[k] + 7 * (num[k - 1] if k else 0)) % 3 == 0:
+                if k > begin:
+                    mine.append((begin, k - begin + 1))
+                begin = k + 1
+        for k, n in mine:
+            units.append((d, k, n))
+            at = first.setdefault(tuple(ls[k : k + n]), (d, k))
+            first[tuple(ls[k : k + n])] = min(at, (d, k))
+    gone = [set() for _ in docs]
+    for d, k, n in units:
+        ls = texts[d]
+        o, at = first[tuple(ls[k : k + n])]
+        if (o, at) == (d, k):
+            continue
+        other, shift = texts[o], k - at
+        low = high = k
+        while low - 1 >= max(shift, 0) and ls[low - 1] == other[low - 1 - shift]:
+            low -= 1
+        while high + 1 < len(ls) and high + 1 - shift < len(other) and ls[high + 1] == other[high + 1 - shift]:
+            high += 1
+        if sum(map(words, ls[low : high + 1])) >= least:
+            gone[d] |= set(range(low, high + 1))
+    return {doc: "\n".join(x for k, x in enumerate(ls) if k not in out) for doc, ls, out in zip(docs, texts, gone, strict=True)}
 
 
 def passage(tag, n):
@@ -89,10 +99,19 @@ def passage(tag, n):
 
 
 def test_line_dedup_against_brute_force(spark, odd):
+    import random
+
+    rnd = random.Random(7)
     p, q = passage("p", 6), passage("q", 9)
+    short = "a b\nc d e f g h i j k l\n" + " ".join(f"m{k}" for k in range(33)) + "\nn o p q r s t u v"  # 54 words
+    below = "\n".join(" ".join(f"z{k}{j}" for j in range(7)) for k in range(7))  # 49 words
     rows = [(1, f"start one\n{p}\nend"), (2, f"{p}"), (3, f"other\n\n{q}\nmid\n{p}"), (4, q + "\n" + q), (5, "start one\nend"), (6, p[:-1] + "!"), (7, ""), (8, None), (9, q), (9, q), (None, p), (10, "short\n" * 60)]
+    rows += [(20, f"u1\n{short}\nu2"), (21, f"u3 x\n{short}\nu4 y"), (22, f"{below}\nu5"), (23, f"u6\n{below}\nu7"), (24, "one line " * 30), (25, "before\n" + "one line " * 30 + "\nafter")]
+    pool = [" ".join(f"r{rnd.randint(0, 30)}" for _ in range(rnd.choice([0, 1, 5, 20, 60]))) for _ in range(25)]
+    rows += [(100 + k, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 15)))) for k in range(40)]
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, key string, ranges int")
     want = brute(rows)
+    assert want[21, rows[13][1]] == "u3 x\nu4 y" and want[25, rows[17][1]] == "before\nafter" and want[23, rows[15][1]] == rows[15][1]
     got = lines.report(df).collect()
     assert len(got) == len(rows)
     assert Counter((r.doc_id, r.text) for r in got) == Counter((i, want.get((i, t), t)) for i, t in rows)
@@ -100,6 +119,8 @@ def test_line_dedup_against_brute_force(spark, odd):
     kept = lines.drop_emptied(df)
     assert kept.columns == df.columns
     assert 2 not in {r.doc_id for r in kept.collect()} and {7, 8} <= {r.doc_id for r in kept.collect()}
+    every = brute(rows, 0)
+    assert Counter((r.doc_id, r.text) for r in lines.report(df, min_words=0).collect()) == Counter((i, every.get((i, t), t)) for i, t in rows)
 
 
 def test_line_dedup_odd_rows(odd, none):
