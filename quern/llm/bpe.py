@@ -16,7 +16,9 @@ exists for any adjacent pair, the proposal is the merge result.
 Defined cases: a null text encodes like an empty one (no ids, empty decoded
 text); special-token strings inside a text become their ids, as the library does
 by default; texts outside the fast path's alphabet go through the library's own
-normaliser and splitter, then through the same codec.
+normaliser and splitter, then through the same codec; very long texts and words are
+encoded whole; of merges of equal rank the leftmost goes first; rows that repeat a
+doc_id each give a row, an empty table none; further columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from .shared import id_text
 
 #: Distinct words that one worker remembers before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: Longer words are encoded each time, so the cache's bytes stay bounded.
 CACHE_CHARS = 64
 _FAR = np.int64(1 << 40)

@@ -15,7 +15,9 @@ benchmark's size; with one block, nothing of the documents is shuffled.
 Defined cases: null or wordless documents have n_words 0, no hit, and are not
 contaminated; null or wordless items have no window; items with equal texts are
 all reported; an empty benchmark leaves every document clean.  Rows that repeat
-a doc_id each give a row.
+a doc_id each give a row, an empty table none; very long texts are read in blocks and
+searched whole; of equally rare prefix tokens the least hash is taken; further columns
+are not read.
 """
 
 from __future__ import annotations

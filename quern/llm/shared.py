@@ -18,13 +18,16 @@ BROADCAST_BYTES = 32 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster; where the setting is absent
-    (tests, one machine) a temporary folder is made once and recorded.
+    ``spark.checkpoint.dir`` names it.  Where the setting is absent on a local master (tests)
+    a temporary folder is made once and recorded; on a cluster that is an error, since executors
+    would not see it.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("spark.quern.scratch", None)
         if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             at = tempfile.mkdtemp(prefix="quern-")
             spark.conf.set("spark.quern.scratch", at)
     return at.rstrip("/")

@@ -4,7 +4,8 @@ The pages that a rule settles are the labelled outcomes (block = 1, allow = 0).
 Each level's rate is shrunk to its parent's by a beta prior: all pages to the
 suffix, the suffix to the registered domain, the domain to the host.  A prior's
 strength comes from the spread between the children of that level (method of
-moments), so noisy levels lean on their parents.  A page without a rule is
+moments, held between 1 and 1000 pseudo-pages, where the moments give no usable
+value), so noisy levels lean on their parents.  A page without a rule is
 blocked if its host's posterior block rate exceeds one half by ``z`` posterior
 deviations, else allowed.
 
@@ -15,7 +16,9 @@ else by a shuffle that adaptive execution may split.
 Defined cases: a null url or one without ``://`` has an empty host and path, no
 rule, and is judged as host '' like any other; hosts of one label are their own
 suffix and domain; without labelled pages the rate is one half and nothing is
-blocked; repeated rows each give a row.
+blocked; repeated rows each give a row, an empty table none; of rules that fit, the
+longest wins, and no two are equally long for one url; very long urls are handled
+whole; further columns are not read.
 """
 
 from __future__ import annotations

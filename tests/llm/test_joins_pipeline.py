@@ -219,3 +219,41 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     plain = dict(zip([r[0] for r in rows], bpe.WordCodec(tokenizer_path()).encode_batch([r[1] or "" for r in rows]), strict=True))
     assert all(got[i].ids_sha256 == hashlib.sha256(plain[i][0]).hexdigest() for i in got)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "bpe_codec"]
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Every stage after the first on odd documents: repeated rows, clashing names, nulls, an empty table."""
+    stages = dict(pytest.importorskip("corpus_pipeline").STAGES)
+    from tokenizers import Tokenizer
+
+    from quern.llm.queries import tokenizer_path
+
+    from .test_urls_lines import brute as plain_lines
+
+    rnd = random.Random(21)
+    word = lambda: f"w{rnd.randint(0, 300)}"
+    line = lambda n: " ".join(word() for _ in range(n))
+    shared, item = [line(30), line(4), line(25)], line(20)
+    rows = [(k, "\n".join([line(rnd.randint(5, 60)), *(shared if k % 4 == 0 else []), *([item] if k % 9 == 0 else []), line(9)])) for k in range(30)]
+    rows += [(40 + k, " ".join([*rows[k][1].split(" ")[:-1], word()])) for k in range(6)] + [(60, rows[7][1]), (61, ""), (7, rows[7][1]), (None, line(60))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp string, b string, __gone string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x", "y", "z") for i, t in rows], schema)
+    none = docs.limit(0)
+    texts = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+
+    got = stages["line_dedup"](spark, docs, "")
+    want = [(i, plain_lines(rows)[i, t]) for i, t in rows]
+    assert got.columns == docs.columns
+    assert texts(got) == sorted((str(i), t) for (i, t), (_, old) in zip(want, rows, strict=True) if t or not old)
+    got = stages["ngram_jaccard_join"](spark, docs, "")
+    roots = {i: c for i, (_, c) in brute_components([r for r in rows if r[0] is not None], 5, 80, 100).items()}
+    assert got.columns == docs.columns and texts(got) == sorted((str(i), t) for i, t in rows if i is None or roots[i] == i)
+    assert len(set(roots.values())) < len(roots)
+    kept = contamination.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    bad = {r[0] for r in brute_contaminated(rows, [(1, item)]) if r[5]}
+    assert bad and texts(kept) == sorted((str(i), t) for i, t in rows if i not in bad)
+    library = Tokenizer.from_file(tokenizer_path())
+    for r in stages["bpe_codec"](spark, docs, "").collect():
+        assert r.n_tokens in {len(library.encode(t, add_special_tokens=False).ids) for i, t in rows if i == r.doc_id}
+    for name in ("language_id", "line_dedup", "ngram_jaccard_join", "bpe_codec"):
+        assert stages[name](spark, none, "").count() == 0

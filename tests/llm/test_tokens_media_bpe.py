@@ -165,3 +165,16 @@ def test_media_round_trip_and_tensors(spark, odd, none):
     out = {r.k: r for r in media.tensors(broken).collect()}
     assert out[1].error and out[1].rgb is None and out[2].rgb is None and out[2].error is None
     assert len(out[3].rgb) == out[3].height * out[3].width * 3
+
+
+def test_stored_tensors_are_the_decoded_pictures(spark, odd, tmp_path):
+    import numpy as np
+
+    stored = media.store(odd.filter("doc_id <> 6"))
+    media.store_tensors(stored, str(tmp_path / "rgb"))
+    got = spark.read.parquet(str(tmp_path / "rgb"))
+    assert got.columns == ["doc_id", "n_bytes", "height", "width", "rgb", "error"]
+    want = {r.doc_id: media.jpeg.tensor(media.jpeg.decode(bytes(r.media))) for r in stored.collect()}
+    for r in got.collect():
+        picture = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
+        assert r.error is None and (picture == want[r.doc_id]).all()
