@@ -3,6 +3,12 @@ benchmark decontamination, BPE encoding.
 
 Each stage works on all that its predecessor kept; between stages the documents
 are written as Parquet in the shared folder and read again.
+
+Defined cases of every stage: a null text has no language, so its document goes in
+the first stage; an empty table stays empty; very long texts are handled whole; rows
+that repeat a doc_id are kept or dropped together; a null doc_id is kept wherever its
+text is; of copies the least doc_id stays, which settles ties; further columns stay,
+whatever their names, until the last stage, which returns its own columns.
 """
 
 from __future__ import annotations
@@ -49,7 +55,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_codec", bpe_encoding),
 ]
 
-#: The stages' models and tokenizer have no SQL form; tests hold run() against a brute-force version.
+#: The stages' models and tokenizer have no SQL form; tests hold each stage against a brute-force version on its own input.
 ORACLE_SQL = None
 
 
