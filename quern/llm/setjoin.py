@@ -12,21 +12,32 @@ the scheme has E spare segments, and a set with at most E sparse ones leaves
 them out, because a linked pair still shares a dense one; a set with more
 indexes them all.
 
-Candidates come from index buckets: each bucket's smallest doc_id (its leader)
-is verified against the members.  Members that link with the leader are in one
-component, so only pairs with an unlinked member are left.  Those are found by
-differences: with D = leader XOR member, |x XOR y| = |Dx| + |Dy| - 2 |Dx & Dy|, so
-an unlinked x and a y can link only if their differences share enough elements.
-A prefix join over the differences, rarest elements first, with bounds on both
-positions, yields such pairs without listing a group's pairs.  All are verified
-on the whole sets; components follow.  Equal sets are collapsed beforehand, and
-again within a task before anything is shuffled.
+Candidates come from index buckets: each bucket's smallest doc_id is its leader.
+A set also has a parity sketch, a bit per element or more: bit k tells whether an
+odd number of elements falls on k.  Bits in which two sketches differ never
+outnumber the elements in which the sets do, so a sketch pair that differs too
+much rules a link out before any set is attached.  What is left is verified on
+the whole sets, one leader for each member first, then the pairs of classes that
+are not joined yet.
+
+Members of a bucket that are not joined yet may still link with each other.  The
+symmetric difference is a metric, so a member that lies farther from the leader than
+two links reach can only meet others that the leader does not link with.  The sets
+left in buckets of several classes meet by a prefix join over their elements: those
+that stand in one class only come first, then the rarer ones; length and position
+bounds and the counts of unshared elements cut it, sketches and the whole sets
+decide.  Equal sets are collapsed beforehand, and again within a task before anything
+is shuffled.  Rows of a hot leader are dealt over several tasks.
 
 Defined cases: null or wordless texts have an empty set, n_shingles 0, and link
 with nothing; a text of fewer words than the width is one shingle of them all;
-rows that repeat a doc_id each give a row; a null doc_id links with nothing and
-keeps a null component.  Equal hashes are taken for equal shingles and equal
-64-bit fingerprints for equal sets (one chance in 2**64 for a pair).
+very long texts are read in blocks and enter whole; rows that repeat a doc_id each
+give a row; a null doc_id links with nothing and keeps a null component; ties do
+not arise, the smallest doc_id names a component; an empty table gives no row;
+further columns, whatever their names, are not read.  Equal hashes are taken for
+equal shingles and equal 64-bit fingerprints for equal sets: words, shingles and
+sets pass non-linear mixers, so for texts that were not made against these very
+functions the chance is 2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -37,14 +48,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import id_text, materialize, maybe_broadcast
+from .shared import dealt_join, discard, id_text, materialize, maybe_broadcast
 
 #: Sets of a task that it remembers to leave out their exact copies.
-SEEN = 500_000
+SEEN = 200_000
 #: What one expected meeting of two strangers in a bucket weighs against an index row.
 MEETING = 400.0
 #: Chance, for costs only, that a shingle of one text stands in a stranger.
@@ -173,19 +184,29 @@ class Bands:
         return np.concatenate([self.scheme(b).keys(ordered, mixed), self.scheme(b + 1).keys(ordered, mixed)])
 
 
+def sketch(mixed: np.ndarray) -> np.ndarray:
+    """Parities of a set's elements over a power of two of bits, as many as elements at least."""
+    bits = 64
+    while bits < len(mixed):
+        bits *= 2
+    odd = np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, fp (null for an empty set)."""
+    """doc_id, n_shingles, fp and sketch (both null for an empty set)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            n, fp = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            n, fp, marks = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
             for k, s in sets(batch, width):
                 n[k] = len(s)
                 if len(s):
-                    fp[k] = signed(fingerprint(scan.mix(s)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(fp, pa.int64())], ["doc_id", "n_shingles", "fp"])
+                    mixed = scan.mix(s)
+                    fp[k], marks[k] = signed(fingerprint(mixed)), sketch(mixed)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(fp, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", "sketch"])
 
-    return id_text(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, fp long")
+    return id_text(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, fp long, sketch array<long>")
 
 
 def index_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -244,43 +265,183 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
     return id_text(docs).mapInArrow(run, "fp long, items array<long>")
 
 
-def measured(pairs: DataFrame, content: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, the sets' sizes na and nb, and whether they are linked, from the whole sets."""
-    left = content.select(F.col("fp").alias("a"), F.col("items").alias("left"))
-    right = content.select(F.col("fp").alias("b"), F.col("items").alias("right"))
-    sizes = pairs.join(right, "b").join(left, "a").select("a", "b", F.size("left").cast("long").alias("na"), F.size("right").cast("long").alias("nb"), F.size(F.array_intersect("left", "right")).alias("shared"))
-    return sizes.select("a", "b", "na", "nb", (F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num).alias("linked"))
+def least_differing(left: str, right: str) -> str:
+    """SQL: bits in which two sketches differ, the longer one folded to the other's length."""
+    fold = "transform(sequence(0, {n} - 1), i -> aggregate(sequence(0, cast(size({a}) / {n} as int) - 1), 0L, (x, k) -> x ^ {a}[i + k * {n}]))"
+    n = f"least(size({left}), size({right}))"
+    return f"aggregate(zip_with({fold.format(a=left, n=n)}, {fold.format(a=right, n=n)}, (x, y) -> bit_count(x ^ y)), 0L, (s, b) -> s + b)"
+
+
+class Join:
+    """One run of the join: the documents, their known sets and the threshold."""
+
+    def __init__(self, docs: DataFrame, width: int, num: int, den: int):
+        self.docs, self.width, self.num, self.den = docs, width, num, den
+        self.up, self.down = den + num, den - num
+        self.known = materialize(fingerprints(docs, width), "sets")
+        ids = self.known.filter("fp is not null and doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+        grouped = ids.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("copies"))
+        self.texts = materialize(grouped.select("fp", "doc_id", "copies"), "texts")
+        self.ids = ids
+        self.names = ids.select("doc_id", "fp").distinct()
+
+    def members(self) -> DataFrame:
+        """key, leader, doc_id of the other members of each index bucket."""
+        index = index_rows(self.docs, self.width, self.num, self.den).filter("key is not null and doc_id is not null").repartition("key")  # dealt once, read twice
+        leaders = index.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last").drop("last")
+        return materialize(index.join(leaders.hint("merge"), "key").filter("doc_id <> leader"), "members")
+
+    def stars(self, members: DataFrame) -> DataFrame:
+        """a (a bucket's leader), b (another member), their sizes na and nb, and ``low``, at least so many elements apart."""
+        star = materialize(members.select("leader", "doc_id").distinct(), "star")
+        named = dealt_join(star.join(self.names.withColumnRenamed("fp", "b"), "doc_id"), self.names.select(F.col("doc_id").alias("leader"), F.col("fp").alias("a")), "leader", "doc_id", counted=star)
+        named = materialize(named.filter("a <> b").select("a", "b").distinct(), "named")
+        rows = materialize(self.measured(named), "stars")
+        discard(star, named)
+        return rows
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with the sets' sizes na and nb and ``low``, the bits in which the sketches differ."""
+        sides = self.ids.select("fp", "n_shingles", "sketch").dropDuplicates(["fp"])
+        b = sides.select(F.col("fp").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+        a = sides.select(F.col("fp").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+        both = dealt_join(pairs.join(b, "b"), a, "a", "b", counted=pairs)
+        return both.select("a", "b", "na", "nb", F.expr(least_differing("sa", "sb")).alias("low"))
+
+    def may_link(self) -> Column:
+        return F.col("low") * self.up <= (F.col("na") + F.col("nb")) * self.down
+
+    def contents(self, wanted: DataFrame) -> DataFrame:
+        """fp, items of the wanted sets, each read from one document."""
+        chosen = materialize(self.texts.join(wanted.distinct(), "fp", "left_semi").select("fp", "doc_id"), "chosen")
+        n = chosen.count()
+        read = id_text(self.docs).join(maybe_broadcast(chosen.select("doc_id").distinct(), 16, n), "doc_id", "left_semi")
+        return whole_sets(read, self.width).join(maybe_broadcast(chosen.select("fp"), 16, n), "fp", "left_semi")
+
+    def attached(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (a, b, ...) with both whole sets, left and right."""
+        content = materialize(self.contents(pairs.select(F.col("a").alias("fp")).union(pairs.select("b"))), "content")
+        if not self.unrepeated:
+            content = content.dropDuplicates(["fp"])
+        right = content.select(F.col("fp").alias("b"), F.col("items").alias("right"))
+        left = content.select(F.col("fp").alias("a"), F.col("items").alias("left"))
+        return dealt_join(pairs.join(right, "b"), left, "a", "b", counted=pairs)
+
+    @property
+    def unrepeated(self) -> bool:
+        """Whether no row repeats a doc_id together with its set."""
+        if not hasattr(self, "_unrepeated"):
+            self._unrepeated = self.ids.groupBy("doc_id", "fp").count().filter("count > 1").isEmpty()
+        return self._unrepeated
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """a, b of the pairs that are linked, by their whole sets."""
+        sizes = self.attached(pairs.select("a", "b")).select("a", "b", (F.size("left") + F.size("right")).cast("long").alias("n"), F.size(F.array_intersect("left", "right")).alias("shared"))
+        linked = sizes.filter(F.col("shared") * self.den >= (F.col("n") - F.col("shared")) * self.num)
+        return materialize(linked.select("a", "b"), "linked")
 
+    @staticmethod
+    def rooted(rows: DataFrame, labels: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``rows`` with the root of the fingerprint column ``name``, as r + its name; ``by`` deals hot fingerprints."""
+        side = labels.select(F.col("node").alias(name), F.col("root").alias("r" + name))
+        out = dealt_join(rows, side, name, by, how="left") if by else rows.join(side, name, "left")
+        return out.withColumn("r" + name, F.coalesce("r" + name, name))
+
+    def open_pairs(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs (a, b) of the sets ``rows`` (b), of different roots, that may link, by a prefix join of their elements.
+
+        A pair is met at its first common element, whose places leave enough elements for a link.
+        The u elements of x that stand in nothing of another root differ from y's, so a linked pair
+        has ux + uy <= (|x| + |y|) r, r = (den - num) / (den + num), and one of the two is light: its u is
+        at most half of that with the largest partner.  Under an element, pairs are looked for between
+        the sets outside its most frequent root and all others, and of two heavy ones never.
+        """
+        num, den = self.num, self.den
+        listed = self.contents(rows.select(F.col("b").alias("fp"))).dropDuplicates(["fp"]).withColumnRenamed("fp", "b")
+        listed = self.rooted(listed, labels, "b").select("b", F.col("rb").alias("r"), F.size("items").cast("long").alias("n"), F.explode("items").alias("e"))
+        light = 2 * F.col("u") * num <= F.col("n") * self.down  # u <= (n + n den / num) r / 2
+        place = self._placed(listed).filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
+        placed = materialize(place.select("e", "b", "r", "n", "u", "pos", light.alias("light")), "places")
+        main = placed.groupBy("e", "r").agg(F.count("*").alias("c")).groupBy("e").agg(F.max_by("r", F.struct("c", "r")).alias("main"), F.count("*").alias("roots"))
+        placed = materialize(placed.join(main.filter("roots > 1").drop("roots"), "e"), "placed")
+        side = lambda k: [F.col(c).alias(c + k) for c in ("b", "n", "u", "r", "pos", "light")]
+        x, y = placed.filter("r <> main").select("e", *side("x")), placed.select("e", *side("y"))
+        shared = F.expr(f"ceil((nx + ny) * {num} / {num + den})")
+        left = 1 + F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy"))
+        apart = (F.col("ux") + F.col("uy")) * self.up <= (F.col("nx") + F.col("ny")) * self.down
+        fits = (left >= shared) & apart & (F.col("rx") != F.col("ry"))
+        met = x.filter("lightx").join(y, "e").filter(fits).select("bx", "by")
+        met = met.union(x.filter("not lightx").join(y.filter("lighty"), "e").filter(fits).select("bx", "by"))
+        met = materialize(met.select(F.least("bx", "by").alias("a"), F.greatest("bx", "by").alias("b")).distinct(), "met")
+        discard(placed)
+        return met
 
-def difference_pairs(stars: DataFrame, content: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of members of one leader, one of them not linked with it, that may link.
-
-    ``stars``: a (leader), b (member), na, nb, linked.  For an unlinked x and any y,
-    the differences must share c = ceil((|Dx| + |Dy| - floor((|x| + |y|) r)) / 2) >= 1
-    elements, r = (den - num) / (den + num); so their prefixes of |D| - c + 1 elements meet.
-    The bounds that hold for every partner cut the rows before the join.
-    """
-    up, down = den + num, den - num
-    groups = stars.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("far")).filter("n > 1 and far > 0").select("a")
-    left = content.select(F.col("fp").alias("a"), F.col("items").alias("left"))
-    right = content.select(F.col("fp").alias("b"), F.col("items").alias("right"))
-    both = stars.join(groups, "a", "left_semi").join(right, "b").join(left, "a")
-    apart = F.concat(F.array_except("left", "right"), F.array_except("right", "left"))
-    rows = both.select("a", "b", "na", "nb", "linked", apart.alias("apart")).select("a", "b", "na", "nb", "linked", F.size("apart").cast("long").alias("nd"), F.explode("apart").alias("e"))
-    rows = materialize(rows, "differences")
-    often = rows.groupBy("a", "e").agg(F.count("*").alias("f"))
-    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "e"))
-    placed = rows.join(often, ["a", "e"]).withColumn("pos", place).filter("f > 1")
-    least = lambda twice: F.greatest(F.ceil(twice / (2 * up)), F.lit(1))
-    any_y = least(F.col("nd") * up + (F.col("na") - F.col("nb")) * down)
-    any_x = least(F.col("nd") * up - (F.col("na") + F.col("nb")) * down)
-    placed = materialize(placed.select("a", "e", "b", "nb", "nd", "linked", "pos", (F.col("nd") - any_y + 1).alias("last_y"), (F.col("nd") - any_x + 1).alias("last_x")), "places")
-    x = placed.filter("not linked and pos <= last_x").select("a", "e", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("nd").alias("dx"), F.col("pos").alias("px"))
-    y = placed.filter("pos <= last_y").select("a", "e", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("nd").alias("dy"), F.col("pos").alias("py"), "linked")
-    shared = F.expr(f"ceil((dx + dy - floor((nx + ny) * {down} / {up})) / 2)")
-    fits = (F.col("px") <= F.col("dx") - shared + 1) & (F.col("py") <= F.col("dy") - shared + 1) & (F.col("x") != F.col("y")) & (F.col("linked") | (F.col("x") < F.col("y")))
-    met = x.alias("l").join(y.alias("r"), (F.col("l.a") == F.col("r.a")) & (F.col("l.e") == F.col("r.e")) & fits)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    @staticmethod
+    def _placed(listed: DataFrame) -> DataFrame:
+        """The rows (b, r, n, e) whose element e meets another root, with the number ``u`` of b's
+        elements that meet none and the place ``pos`` among all n: those come first, then the rarer ones."""
+        every = Window.partitionBy("e")
+        often = listed.select("*", F.count("*").over(every).alias("f"), F.min("r").over(every).alias("r0"), F.max("r").over(every).alias("r1"))
+        mixed = often.filter("r0 <> r1").drop("r0", "r1")
+        each = Window.partitionBy("b")
+        mixed = mixed.withColumn("u", F.col("n") - F.count("*").over(each))
+        return mixed.withColumn("pos", F.row_number().over(each.orderBy("f", "e")) + F.col("u"))
+
+    def sketched(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that the sketches leave open."""
+        return materialize(self.measured(pairs).filter(self.may_link()).select("a", "b"), "pairs")
+
+    def labels(self) -> DataFrame:
+        """node, root of all fingerprints that have links."""
+        members = self.members()
+        stars = self.stars(members)
+        # one leader for each member first
+        near = stars.filter(self.may_link())
+        first = materialize(near.groupBy("b").agg(F.min("a").alias("a")), "first")
+        edges = self.verified(first)
+        labels = components(edges)
+        # then the pairs that join classes
+        rest = self.rooted(self.rooted(near.select("a", "b"), labels, "a", "b"), labels, "b", "a").filter("ra <> rb").select("a", "b")
+        rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "rest")
+        labels = _joined(labels, self.verified(rest))
+        # then pairs of members, in buckets of two classes or more besides the leader
+        left = self.open_sets(members, self.told(stars, edges, labels))
+        discard(members, stars)
+        if not left.isEmpty():
+            labels = _joined(labels, self.verified(self.sketched(self.open_pairs(left, labels))))
+        return labels
+
+    def told(self, stars: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+        """``stars`` with the member's root, whether it is verified as linked with the leader, and
+        whether it is ``far``: no set linked with the leader can be linked with it."""
+        reach = F.col("na") + F.col("nb") + F.floor(2 * F.least("na", "nb") * self.den / self.num)
+        far = (F.col("low") * self.up > reach * self.down).alias("far")
+        told = stars.select("a", "b", far).join(edges.withColumn("linked", F.lit(True)), ["a", "b"], "left")
+        return materialize(self.rooted(told, labels, "b", "a"), "told")
+
+    def open_sets(self, members: DataFrame, told: DataFrame) -> DataFrame:
+        """b: the sets that share a bucket with a set of another class, its leader apart, and may link with it.
+
+        A member linked with the leader can link with no far one, so where all other
+        members are far, only they are left.
+        """
+        rows = members.join(self.names.withColumnRenamed("fp", "b"), "doc_id").select("key", "leader", "b").distinct()
+        rows = dealt_join(rows, self.names.select(F.col("doc_id").alias("leader"), F.col("fp").alias("a")), "leader", "b", counted=members)
+        rows = materialize(rows.select("key", "a", "b").join(told, ["a", "b"]).select("key", "b", "rb", "far", "linked"), "open")
+        apart = lambda some: F.min(F.when(some, F.col("rb"))) != F.max(F.when(some, F.col("rb")))
+        single = F.col("linked").isNull()
+        per = rows.groupBy("key").agg(apart(F.lit(True)).alias("mixed"), apart(single).alias("strange"), F.max(single & ~F.col("far")).alias("close"))
+        keys = per.filter("mixed and (strange or close)").select("key", "close")
+        out = materialize(dealt_join(rows, keys, "key", "b").filter("close or linked is null").select("b").distinct(), "candidates")
+        discard(rows, told)
+        return out
+
+
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels after more edges."""
+    if edges.isEmpty():
+        return labels
+    return components(labels.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -312,47 +473,21 @@ def components(edges: DataFrame) -> DataFrame:
 def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; two documents link when
     den * |intersection| >= num * |union| of their shingle sets."""
-    spark = docs.sparkSession
-    known = materialize(fingerprints(docs, width), "sets")
-    order = Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = index_rows(docs, width, num, den).withColumn("leader", F.first("doc_id").over(order)).filter("doc_id <> leader")
-    rows = materialize(rows, "buckets")
-    ids = known.filter("fp is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "fp").distinct()
-    star = rows.select("leader", "doc_id").distinct()
-    star = star.join(ids.withColumnRenamed("fp", "b"), "doc_id").join(ids.select(F.col("doc_id").alias("leader"), F.col("fp").alias("a")), "leader")
-    stars = materialize(star.filter("a <> b").select("a", "b").distinct(), "stars")
-    wanted = materialize(stars.select(F.col("a").alias("fp")).union(stars.select("b")).distinct(), "wanted")
-    labels = _linked(spark, docs, known, stars, wanted, width, num, den)
-    rooted = labels.select(F.col("node").alias("fp"), "root")
-    classes = known.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    shared = materialize(classes.join(lowest, "root").select("fp", "component_id"), "classes")
-    out = known.join(shared, "fp", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    join = Join(docs, width, num, den)
+    labels = join.labels()
+    classes = join.rooted(join.texts, labels, "fp").select("fp", "doc_id", F.col("rfp").alias("root"))
+    lowest = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    shared = materialize(dealt_join(classes, lowest, "root", "fp").select("fp", "component_id"), "classes")
+    out = dealt_join(join.known.drop("sketch"), shared, "fp", "doc_id", how="left")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id")
 
 
-def _linked(spark, docs, known, stars, wanted, width: int, num: int, den: int) -> DataFrame:
-    """node, root over the fingerprints that have links."""
-    n_wanted = wanted.count()
-    if n_wanted == 0:
-        return spark.createDataFrame([], "node long, root long")
-    # one document of each wanted set is read again
-    readers = known.join(maybe_broadcast(wanted, 16, n_wanted), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    readers = materialize(readers, "readers")
-    content = whole_sets(id_text(docs).join(maybe_broadcast(readers, 16, n_wanted), "doc_id", "left_semi"), width).dropDuplicates(["fp"])
-    content = materialize(content, "content")
-    first = materialize(measured(stars, content, num, den), "measured")
-    more = materialize(difference_pairs(first, content, num, den), "pairs")
-    second = measured(more, content, num, den)
-    return components(first.unionByName(second).filter("linked"))
-
-
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; all columns stay."""
+    """The rows of ``docs`` whose doc_id is the smallest of its component or null; all columns stay."""
     found = near_components(docs, width, num, den)
-    kept = found.filter("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    nameless = docs.filter("doc_id is null")
-    return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(nameless)
+    copies = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return docs.join(maybe_broadcast(copies, 16), "doc_id", "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""
