@@ -55,17 +55,48 @@ def with_holdout(kept: DataFrame, n: int, seed: int, ident: str) -> DataFrame:
     return kept.join(picked, ident, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
-def decide(rows: DataFrame, score_before: str, score_after: str, solved: Column, usable: Column, depth: str, most: int, gap: float = 0.05) -> DataFrame:
-    """``decision`` (accept, discard, recurse) and ``reason`` of mined rows, by ordered branches."""
-    gain = F.col(score_after) - F.col(score_before)
-    chain = [
-        (~usable, "discard", "unusable"),
-        (solved, "accept", "solved"),
-        (gain >= gap, "accept", "better line"),
-        (F.abs(gain) < gap / 5, "accept", "stable"),
-        (F.col(depth) >= most, "discard", "depth limit"),
-    ]
-    decision, reason = F.lit("recurse"), F.lit("still moving")
-    for cond, d, r in reversed(chain):
-        decision, reason = F.when(cond, d).otherwise(decision), F.when(cond, r).otherwise(reason)
-    return rows.withColumn("decision", decision).withColumn("reason", reason)
+# The labels in their order, the reasons to go on.
+LABELS = "xyz"
+MALFORMED, MISORDERED, OUTSIDE, EXHAUSTED = (
+    "child evaluation remained malformed",
+    "incorrect inaccurate child ordering",
+    "inferred evaluation outside truth limit",
+    "child exhausted clean-prefix attempts",
+)
+
+
+def decide(rows: DataFrame, children: str, truth: Column, inferred: Column, sampled: Column, accept: Column, divergence: Column, drop: float, limit: float) -> DataFrame:
+    """``rows`` with ``decision``: struct(action, reason, next, selected, new_error, old_error).
+
+    ``children``: array of struct(label, fen, predicted, order, truth, valid); ``order`` compares
+    predictions, ``truth`` and ``inferred`` are the root's values, ``sampled`` says whether all children
+    were sampled validly, ``accept`` and ``divergence`` judge the proposed line.  In this order: a child
+    without a prediction, a chosen child that is truly worse than x by ``drop``, a prediction off the
+    truth by ``limit`` and invalid sampling go on from the child at fault (``next``: its fen); else the
+    divergence accepts, or the chosen child is gone on from.
+    """
+    by_label = lambda c: F.struct(F.instr(F.lit(LABELS), c["label"]).alias("place"), c.alias("c"))
+    kids = F.transform(F.array_sort(F.transform(children, lambda c: by_label(c))), lambda x: x["c"])
+    at = rows.withColumn("__kids", kids)
+    first = lambda test: F.get(F.filter("__kids", test), F.lit(0))
+    most = lambda key: F.aggregate("__kids", F.get("__kids", F.lit(0)), lambda a, c: F.when(key(c) > key(a), c).otherwise(a))
+    at = at.withColumn("__none", first(lambda c: c["predicted"].isNull())).withColumn("__best", F.get("__kids", F.lit(0))).withColumn("__chosen", most(lambda c: c["order"]))
+    at = at.withColumn("__off", most(lambda c: F.abs(c["predicted"] - c["truth"]))).withColumn("__invalid", first(lambda c: ~c["valid"]))
+    new, old = F.abs(F.col("__chosen.predicted") - truth), F.abs(inferred - truth)
+    misordered = (F.col("__chosen.label") != LABELS[0]) & (F.col("__best.truth") - F.col("__chosen.truth") >= drop)
+
+    def go(action: str, reason: Column | str, fen: str | None, told: bool = True) -> Column:
+        said = F.lit(reason) if isinstance(reason, str) else reason
+        known = lambda c: c if told else F.lit(None)
+        following = F.col(fen) if fen else F.lit(None).cast("string")
+        return F.struct(F.lit(action).alias("action"), said.alias("reason"), following.alias("next"), known(F.col("__chosen.label")).cast("string").alias("selected"), known(new).cast("double").alias("new_error"), known(old).cast("double").alias("old_error"))
+
+    decision = (
+        F.when(F.col("__none").isNotNull(), go("recurse", MALFORMED, "__none.fen", told=False))
+        .when(misordered, go("recurse", MISORDERED, "__off.fen"))
+        .when(new >= limit, go("recurse", OUTSIDE, "__best.fen"))
+        .when(~sampled, go("recurse", EXHAUSTED, "__invalid.fen"))
+        .when(accept, go("accept", divergence, None))
+        .otherwise(go("recurse", divergence, "__chosen.fen"))
+    )
+    return at.withColumn("decision", decision).drop("__kids", "__none", "__best", "__chosen", "__off", "__invalid")

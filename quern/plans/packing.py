@@ -27,10 +27,14 @@ def pack_kept(spark, d):
 
 
 def level_decisions(spark, d):
-    """ITR2: ordered decision branches over event values."""
-    e = table(spark, d, "events").select("event_id", "event_type", (F.col("value") / 100).alias("after"), (F.col("event_id") % 97 / 97).alias("before"), (F.col("event_id") % 6).alias("depth"))
-    out = packing.decide(e, "before", "after", F.col("event_type") == "purchase", F.col("event_type") != "error", "depth", 5)
-    return out.groupBy("decision", "reason").agg(F.count("*").alias("n"))
+    """ITR2: decisions over rows of three children, ordered branches."""
+    e = table(spark, d, "events").select((F.col("event_id") % 3).alias("k"), F.floor(F.col("event_id") / 3).alias("row"), "event_id", "event_type", "value")
+    predicted = F.when(F.col("event_id") % 17 != 0, F.col("value") / 200)
+    child = F.struct(F.substring(F.lit("xyz"), (F.col("k") + 1).cast("int"), F.lit(1)).alias("label"), F.col("event_id").cast("string").alias("fen"), predicted.alias("predicted"), F.array(predicted).alias("order"), (F.col("event_id") * 7 % 101 / 200).alias("truth"), (F.col("event_type") != "error").alias("valid"))
+    rows = e.groupBy("row").agg(F.collect_list(child).alias("children"), F.min((F.col("event_type") != "error")).alias("sampled")).filter("size(children) = 3")
+    truth, inferred = F.col("row") % 50 / 100, F.col("row") % 33 / 100
+    out = packing.decide(rows, "children", truth, inferred, F.col("sampled"), F.col("row") % 2 == 0, F.concat(F.lit("line "), (F.col("row") % 4).cast("string")), 0.05, 0.2)
+    return out.select("row", "decision.action", "decision.reason", "decision.next", "decision.selected", F.round("decision.new_error", 9).alias("new_error"), F.round("decision.old_error", 9).alias("old_error"))
 
 
 QUERIES = {f.__name__: f for f in (pack_ledger, pack_kept, level_decisions)}
@@ -42,7 +46,10 @@ a AS (SELECT *, CASE WHEN early IS NULL AND row_number() OVER (PARTITION BY key,
 ORACLES = {
     "pack_ledger": _AUDIT + "SELECT source, coalesce(reason, 'kept') AS status, count(*) AS n FROM a GROUP BY 1, 2",
     "pack_kept": _AUDIT + f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {rk(3, 'holdout', 'doc_id')}) <= 20 THEN 'val' ELSE 'train' END AS split FROM a WHERE reason IS NULL",
-    "level_decisions": """WITH e AS (SELECT event_type, value / 100 AS after, event_id % 97 / 97 AS before, event_id % 6 AS depth FROM events), g AS (SELECT *, after - before AS gain FROM e),
-      r AS (SELECT CASE WHEN event_type = 'error' THEN 'unusable' WHEN event_type = 'purchase' THEN 'solved' WHEN gain >= 0.05 THEN 'better line' WHEN abs(gain) < 0.01 THEN 'stable' WHEN depth >= 5 THEN 'depth limit' ELSE 'still moving' END AS reason FROM g)
-      SELECT CASE reason WHEN 'unusable' THEN 'discard' WHEN 'depth limit' THEN 'discard' WHEN 'still moving' THEN 'recurse' ELSE 'accept' END AS decision, reason, count(*) AS n FROM r GROUP BY 1, 2""",
+    "level_decisions": """WITH e AS (SELECT event_id // 3 AS row, event_id % 3 AS k, event_id::VARCHAR AS fen, CASE WHEN event_id % 17 <> 0 THEN value / 200 END AS p, event_id * 7 % 101 / 200 AS t, event_type <> 'error' AS ok FROM events),
+      w AS (SELECT row, count(*) AS n, arg_min(fen, k) FILTER (p IS NULL) AS none, arg_max(fen, (p, -k)) AS cf, arg_max(k, (p, -k)) AS ck, max(p) AS cp, arg_max(t, (p, -k)) AS ct, arg_min(t, k) AS bt, arg_min(fen, k) AS bf, arg_max(fen, (abs(p - t), -k)) AS off, bool_and(ok) AS sampled, arg_min(fen, k) FILTER (NOT ok) AS invalid FROM e GROUP BY 1),
+      x AS (SELECT *, abs(cp - row % 50 / 100) AS new_error, abs(row % 33 / 100 - row % 50 / 100) AS old_error FROM w WHERE n = 3),
+      b AS (SELECT *, CASE WHEN none IS NOT NULL THEN 1 WHEN ck <> 0 AND bt - ct >= 0.05 THEN 2 WHEN new_error >= 0.2 THEN 3 WHEN NOT sampled THEN 4 WHEN row % 2 = 0 THEN 5 ELSE 6 END AS way FROM x)
+      SELECT row, CASE way WHEN 5 THEN 'accept' ELSE 'recurse' END AS action, coalesce(['child evaluation remained malformed', 'incorrect inaccurate child ordering', 'inferred evaluation outside truth limit', 'child exhausted clean-prefix attempts'][way], 'line ' || row % 4) AS reason,
+        [none, off, bf, invalid, NULL, cf][way] AS next, CASE WHEN way > 1 THEN substr('xyz', (ck + 1)::INT, 1) END AS selected, CASE WHEN way > 1 THEN round(new_error, 9) END AS new_error, CASE WHEN way > 1 THEN round(old_error, 9) END AS old_error FROM b""",
 }
