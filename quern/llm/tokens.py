@@ -11,12 +11,12 @@ shard; bases are prefix sums over one row per shard.
 
 Defined cases: a null text counts as empty and keeps only the end id; documents
 with a null doc_id come first; rows that repeat a doc_id each give a row, in an
-unstated order among themselves; an empty input writes a table without rows.
+unstated order among themselves (so are ties); an empty input writes a table without
+rows; very long texts are encoded whole, a row each; further columns are not read.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 import zlib
@@ -34,18 +34,20 @@ from .shared import id_text, shared_dir
 
 #: Bytes of a row group and of a page, rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 1000
-#: Distinct words that a task remembers, about 200 bytes each.
-MEMORY = 600_000
-#: Text bytes whose words are looked up together.
+#: Distinct chunks that a worker process remembers, about 200 bytes each.
+MEMORY = 800_000
+#: Text bytes whose chunks are looked up together.
 TOGETHER = 2 << 20
 
 
 class Library:
-    """The tokenizers library with a memory of words.
+    """The tokenizers library with a memory of chunks, which are runs between white space.
 
-    The tokenizer merges inside words only, so a text's ids are its words' ids one after
-    another; each new word goes through the library once, many of them in one call.  Texts
-    with special tokens or characters beyond the fast split go through it whole.
+    The tokenizer merges inside words only and no word spans white space, so a text's ids
+    are its chunks' ids one after another, and a chunk's are its words'; the library's model
+    sees each new word once.  Texts with special tokens or characters beyond the fast split
+    go through the library whole.  The memory has two generations of ``MEMORY`` / 2 entries:
+    what is still in use moves from the old one to the young one.
     """
 
     def __init__(self, path: str):
@@ -55,57 +57,68 @@ class Library:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        model = json.load(open(path, encoding="utf-8"))["model"]
-        suffix = model.get("end_of_word_suffix")
-        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
-        for t, i in model["vocab"].items():
-            self.ends[i] = bool(suffix) and t.endswith(suffix)
+        self.model = self.library.model
+        self.alphabet = bpe.byte_alphabet()
         self.plain, self.split = bpe.fast_split()
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        symbols = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode("utf-8")))
+        return np.array([t.id for t in self.model.tokenize(symbols)], "<i4").tobytes()
+
     def _learn(self, need: set[str]) -> None:
-        if len(self.known) > MEMORY:
-            self.known = {w: self.known[w] for w in need if w in self.known}
-        new = [w for w in need if w not in self.known]
-        for k in range(0, len(new), 2000):
-            some = new[k : k + 2000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<i4")
-            cut = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
-            if len(cut) == len(some) and cut[-1] == len(ids):
-                raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
-                self.known.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
-            else:  # a tokenizer without marks at word ends
-                self.known.update((w, self.whole(w)) for w in some)
+        if len(self.known) > MEMORY // 2:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        for chunk in need.difference(known):
+            raw = old.get(chunk)
+            if raw is None:
+                parts = []
+                for w in self.split.findall(chunk):
+                    ids = known.get(w) or old.get(w) or self._word(w)
+                    if len(w) <= bpe.CACHE_CHARS:
+                        known[w] = ids
+                    parts.append(ids)
+                raw = parts[0] if len(parts) == 1 else b"".join(parts)
+            known[chunk] = raw
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        words = [None if "<|" in t or self.plain.search(t) else self.split.findall(t.lower()) for t in texts]
-        need: set[str] = set()
-        for w in words:
-            if w is not None:
-                need.update(w)
+        # the fast alphabet's only white space is what str.split takes
+        chunks = [None if "<|" in t or self.plain.search(t) else t.lower().split() for t in texts]
+        need = set().union(*(c for c in chunks if c is not None))
         self._learn(need)
         ids_of = self.known.__getitem__
-        out = [self.whole(t) if w is None else b"".join(map(ids_of, w)) for t, w in zip(texts, words, strict=True)]
-        for w in need:
-            if len(w) > bpe.CACHE_CHARS:
-                del self.known[w]
+        out = [self.whole(t) if c is None else b"".join(map(ids_of, c)) for t, c in zip(texts, chunks, strict=True)]
+        for w in [w for w in need if len(w) > bpe.CACHE_CHARS]:
+            del self.known[w]
         return out
 
 
+_libraries: dict[str, Library] = {}
+
+
+def library(path: str) -> Library:
+    """One library, with its memory, for each worker process and file."""
+    if path not in _libraries:
+        _libraries[path] = Library(path)
+    return _libraries[path]
+
+
 def encoded(docs: DataFrame, path: str, end_id: int | None = 1) -> DataFrame:
     """shard, doc_id, local_start, n_tokens, ids of every row, in the order of each partition."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = Library(path)
+        known = library(path)
         shard, at = TaskContext.get().partitionId(), 0
         tail = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
         for batch in rows:
             for part in scan.batches(batch, "text", TOGETHER):
-                coded = library.encode([t or "" for t in part.column("text").to_pylist()])
+                coded = known.encode([t or "" for t in part.column("text").to_pylist()])
                 counts = np.array([(len(raw) + len(tail)) // 4 for raw in coded], np.int64)
                 ends = np.cumsum(counts)
                 flat = np.frombuffer(tail.join(coded) + tail, "<i4")
