@@ -102,7 +102,7 @@ def thin_large(df: DataFrame, value: Column, limit: float, keep: float, seed: in
 
 def thin_classes(df: DataFrame, cls: str, rates: DataFrame, cap: float, factor: float, seed: int, salt: str, *ids: str) -> DataFrame:
     """Flatten a class distribution: probability least(1, factor * cap / rate) from a rate table (class, rate)."""
-    at = df.join(F.broadcast(rates), cls)  # a row per class
+    at = df.join(rates, cls)  # broadcast by its size alone
     return thin(at, F.least(F.lit(1.0), F.lit(factor * cap) / F.col("rate")), seed, salt, *ids).drop("rate")
 
 

@@ -249,7 +249,7 @@ def weighted_choice(df: DataFrame, group: list[str], weight: Column, seed: int,
 def inverse_frequency_choice(df: DataFrame, group: list[str], cls: str, seed: int, salt: str, *ids: str) -> DataFrame:
     """One row of each group with weights 1 / (class frequency * class multiplicity in the group)."""
     freq = df.groupBy(cls).agg(F.count("*").alias("__f"))
-    at = df.join(F.broadcast(freq), cls).withColumn("__m", F.count("*").over(Window.partitionBy(*group, cls)))
+    at = df.join(freq, cls).withColumn("__m", F.count("*").over(Window.partitionBy(*group, cls)))
     return weighted_choice(at, group, 1 / (F.col("__f") * F.col("__m")), seed, salt, *ids).drop("__f", "__m")
 
 

@@ -193,8 +193,9 @@ def identity_join(spark, d):
 def curation_slice(spark, d):
     """The first slice end to end: keep-first, reason chain, per-source sample, split, counts."""
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars", "text")
-    first = dedup.keep_first(docs.withColumn("k", F.md5("text")), F.col("k"), ["doc_id"]).drop("k")
-    kept, _ = filters.split_ledger(first, filters.first_reason(_reasons()))
+    thin = docs.select("doc_id", "source", F.md5("text").alias("k"), filters.first_reason(_reasons()).alias("why"))  # no text is shuffled
+    first = dedup.keep_first(thin, F.col("k"), ["doc_id"]).drop("k")
+    kept, _ = filters.split_ledger(first, F.col("why"))
     some = sampling.group_sample(kept.select("doc_id", "source"), ["source"], 5, 3, "slice", "doc_id")
     cut = sampling.hash_split(some, [("test", 0.2), ("train", 0.8)], 3, "cut", "doc_id")
     return cut.groupBy("source", "split").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))

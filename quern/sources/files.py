@@ -56,7 +56,7 @@ def pool(spark: SparkSession, paths: list[str] | str, keep=None) -> DataFrame:
     sizes = df.groupBy("file").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = df.withColumn("own", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1)
-    return at.join(F.broadcast(sizes.select("file", before.alias("before"))), "file").select((F.col("before") + F.col("own")).alias("idx"), "file", "line", "value")
+    return at.join(sizes.select("file", before.alias("before")), "file").select((F.col("before") + F.col("own")).alias("idx"), "file", "line", "value")
 
 
 def decode_rows(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -9,7 +9,7 @@ import os
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import shard_of
@@ -148,5 +148,5 @@ def markdown(df: DataFrame, most: int = 100) -> str:
 
 def in_order(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """One text a group, its values in order (groups are files of bounded size)."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumn("__all", F.collect_list(value).over(w)).select(group, F.array_join("__all", "\n").alias("text")).distinct()
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).cast("string").alias("v"))))
+    return df.groupBy(group).agg(F.array_join(F.transform(rows, lambda r: r["v"]), "\n").alias("text"))
