@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -142,11 +143,43 @@ def ordered_in_every_group(df: DataFrame, group: str, item: str, place: str) ->
     return both.groupBy("first", "second").agg(F.min(F.col("fa") < F.col("sa")).alias("always")).filter("always").select("first", "second")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where ``value`` is computed once, even if inner functions read it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sum_digits(numbers: Column) -> Column:
+    """The exact sum, in digits, of numbers given as digit strings of any length."""
+    limbs = F.ceil(F.array_max(F.transform(numbers, F.length)) / 9).cast("int")
+
+    def limb(k: Column) -> Column:
+        part = lambda c: F.substring(F.lpad(c, 9 * limbs, F.lit("0")), 9 * (limbs - k) - 8, F.lit(9)).cast("long")
+        return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, c: a + part(c))
+
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.lit("").alias("low"))
+    total = lambda a, k: limb(k) + a["carry"]
+    step = lambda a, k: F.struct(F.floor(total(a, k) / 10**9).alias("carry"), F.concat(F.lpad((total(a, k) % 10**9).cast("string"), 9, "0"), a["low"]).alias("low"))
+    return F.aggregate(F.sequence(F.lit(0), limbs - 1), start, step, lambda a: F.regexp_replace(F.concat(a["carry"].cast("string"), a["low"]), "^0+(?=.)", ""))
+
+
 def multiset(text: Column, token: str = r"<([a-z_0-9]+)>(\d*)") -> Column:
-    """Sorted (token, count) pairs of a text with optional count suffixes."""
-    names = F.regexp_extract_all(text, F.lit(token), F.lit(1))
-    counts = F.transform(F.regexp_extract_all(text, F.lit(token), F.lit(2)), lambda c: F.when(c == "", 1).otherwise(c.cast("int")))
-    return F.array_sort(F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("token"), F.aggregate(F.filter(F.arrays_zip(names.alias("n"), counts.alias("c")), lambda z: z["n"] == n), F.lit(0), lambda a, z: a + z["c"]).alias("n"))))
+    """Sorted (token, n, beyond) of a text with optional count suffixes; a total beyond a long
+    has no ``n`` and stands in ``beyond`` by its digits, which is null otherwise."""
+    names = F.regexp_extract_all(text, F.lit(token), F.lit(1)).alias("n")
+    found = F.arrays_zip(names, F.regexp_extract_all(text, F.lit(token), F.lit(2)).alias("c"))
+
+    def total(name: Column, mine: Column) -> Column:
+        """The entry of a name whose counts are ``mine``."""
+        few = F.aggregate(mine, F.lit(0).cast("long"), lambda a, c: a + c.try_cast("long"))
+        digits = F.when(F.exists(mine, lambda c: F.length(c) > 9), _sum_digits(mine))
+        n = F.when(digits.isNull(), few).otherwise(digits.try_cast("long"))
+        return F.struct(name.alias("token"), n.alias("n"), F.when(n.isNull(), digits).alias("beyond"))
+
+    def counted(pairs: Column) -> Column:
+        mine = lambda name: F.transform(F.filter(pairs, lambda z: z["n"] == name), lambda z: F.when(z["c"] == "", "1").otherwise(z["c"]))
+        return F.transform(F.array_distinct(pairs["n"]), lambda name: _once(mine(name), lambda m: total(name, m)))
+
+    return F.array_sort(_once(found, counted))
 
 
 def throughput(df: DataFrame, group: list[str], tokens: str, seconds: str, truncated: Column) -> DataFrame:

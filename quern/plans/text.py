@@ -36,8 +36,9 @@ def token_grades(spark, d):
 
 def token_multiset(spark, d):
     """AGG17: tag multisets of pages, with the number of each tag's total."""
-    p = table(spark, d, "pages").select("page_id", F.regexp_replace("html", r"</[^>]*>|<([a-z0-9]+)[^>]*>", "<$1>").alias("t"))
-    m = p.select("page_id", F.explode(aggregates.multiset(F.replace("t", F.lit("<>"), F.lit("")), r"<([a-z0-9]+)>(\d*)")).alias("m"))
+    tags = F.regexp_extract_all("html", F.lit("<([a-z0-9]+)[^>]*>"), F.lit(1))  # without the text between, whose digits are no counts
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("<"), F.array_join(tags, "><"), F.lit(">")).alias("t"))
+    m = p.select("page_id", F.explode(aggregates.multiset(F.col("t"), r"<([a-z0-9]+)>(\d*)")).alias("m"))
     return m.groupBy("m.token").agg(F.count("*").alias("pages"), F.max("m.n").alias("most"))
 
 

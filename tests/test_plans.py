@@ -65,3 +65,15 @@ def test_library_never_imports_the_optional_subpackage():
             for n in names:
                 if n.endswith(".py"):
                     assert not re.search(r"quern\.llm|from \.+llm|corpus_pipeline", open(os.path.join(folder, n), encoding="utf-8").read()), n
+
+
+def test_token_multiset_takes_no_text_for_counts(spark, tmp_path):
+    """Digits after a tag are text: the query agrees with its SQL on them, whatever their size."""
+    duckdb = pytest.importorskip("duckdb")
+    pages = [(1, "<p>4501042323994846</p><p>7<b class='x'>3</b>"), (2, "</p <b>12 < 3 <br/>"), (3, ""), (4, None), (5, "<P>1<td\n>2")]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, plans.queries()["token_multiset"](spark, str(tmp_path)).select("token", "pages", "most").collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.execute(plans.oracles()["token_multiset"]).fetchall())
+    assert ("p", 1, 2) in got
