@@ -33,7 +33,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import id_text
+from . import scan
+from .shared import id_text, kept, mapped
 
 #: Distinct words that one worker remembers before it starts anew.
 CACHE_WORDS = 120_000
@@ -453,14 +454,12 @@ class WordCodec:
         return " ".join(names[i] if i in names else self.merges.tokens[i] for i in ids if i in names or 0 <= i < size)
 
 
-_codecs: dict[str, WordCodec] = {}
-
-
 def codec(path: str) -> WordCodec:
     """One codec for each worker process and file."""
-    if path not in _codecs:
-        _codecs[path] = WordCodec(path)
-    return _codecs[path]
+    codecs = kept("bpe")
+    if path not in codecs:
+        codecs[path] = WordCodec(path)
+    return codecs[path]
 
 
 def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
@@ -474,7 +473,7 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, keep_text:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in rows:
+        for batch in (part for whole in rows for part in scan.batches(whole, "text", _TOGETHER)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             n, a, b, ids, shown = [], [], [], [], []
             for raw, text in c.encode_batch(texts):
@@ -494,4 +493,4 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, keep_text:
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return id_text(docs).mapInArrow(run, schema)
+    return mapped(id_text(docs), run, schema, "bpe")

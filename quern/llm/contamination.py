@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import id_text, materialize
+from .shared import id_text, mapped, materialize
 
 #: Text bytes of the benchmark items that one pass over the documents looks for.
 BLOCK_BYTES = 8 << 20
@@ -188,7 +188,7 @@ def count_tokens(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[tuple[i
             hit = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), w, np.int32)), pa.array(wanted[w][hit].view(np.int64)), pa.array(s[hit])], ["width", "token", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "width int, token long, n long").groupBy("width", "token").agg(F.sum("n").alias("n"))
+    counted = mapped(docs.select("text"), run, "width int, token long, n long").groupBy("width", "token").agg(F.sum("n").alias("n"))
     return {(r[0], r[1] & 0xFFFFFFFFFFFFFFFF): r[2] for r in counted.collect()}  # at most one row per token of a block
 
 
@@ -229,7 +229,7 @@ def _find(docs: DataFrame, index: Index | None, spans: bool) -> DataFrame:
 
     tail = "hit_words array<long>, items array<string>" if spans else "n_items long, items_sha256 string"
     kind = dict(docs.dtypes)["doc_id"]
-    return id_text(docs).mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, {tail}")
+    return mapped(id_text(docs), run, f"doc_id {kind}, n_words long, n_hit long, {tail}")
 
 
 class _Lowered:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import id_text
+from .shared import id_text, mapped
 
 #: N-grams of a profile and of a document that are ranked.
 PROFILE, OWN = 400, 300
@@ -133,7 +133,7 @@ def learn(docs: DataFrame) -> Profiles:
         for k, v in held.items():
             yield _counts(k, v)
 
-    sums = docs.select("text", "lang").filter("lang is not null and text is not null").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    sums = mapped(docs.select("text", "lang").filter("lang is not null and text is not null"), run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # ranked in the JVM; PROFILE rows a language reach the driver
     best = sums.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("place") <= PROFILE)
     rows = best.select("lang", "code", "place").collect()
@@ -159,7 +159,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return id_text(docs).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return mapped(id_text(docs), run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def farthest(docs: DataFrame, profiles: Profiles) -> float:
             steps, n = np.unique(np.array([int(np.ceil(g[2] * STEPS)) for g in got if g[0] != "und"], np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(steps), pa.array(n.astype(np.int64))], ["step", "n"])
 
-    counts = docs.filter("lang is not null and text is not null").select("text").mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
+    counts = mapped(docs.filter("lang is not null and text is not null").select("text"), run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
     if sum(r[1] for r in counts) < FEW:
         return (STEPS - 1) / STEPS
     steps, n = np.array(sorted(tuple(r) for r in counts)).T
@@ -207,4 +207,4 @@ def keep_known(docs: DataFrame, least: float = 0.05) -> DataFrame:
             got = [profiles.measured(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([g[0] != "und" and g[1] >= least and g[2] <= bound for g in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

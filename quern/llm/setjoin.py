@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import dealt_join, discard, id_text, materialize, maybe_broadcast
+from .shared import dealt_join, discard, id_text, mapped, materialize, maybe_broadcast
 
 #: Sets of a task that it remembers to leave out their exact copies.
 SEEN = 200_000
@@ -206,7 +206,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
                     fp[k], marks[k] = signed(fingerprint(mixed)), sketch(mixed)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(fp, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", "sketch"])
 
-    return id_text(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, fp long, sketch array<long>")
+    return mapped(id_text(docs), run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, fp long, sketch array<long>")
 
 
 def index_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -239,7 +239,7 @@ def index_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             if keys:
                 yield _rows(keys, counts, owners)
 
-    return id_text(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "key long, doc_id long")
+    return mapped(id_text(docs).withColumn("doc_id", F.col("doc_id").cast("long")), run, "key long, doc_id long")
 
 
 def _rows(keys, counts, owners) -> pa.RecordBatch:
@@ -262,7 +262,7 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
                     fps, items, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["fp", "items"])
 
-    return id_text(docs).mapInArrow(run, "fp long, items array<long>")
+    return mapped(id_text(docs), run, "fp long, items array<long>")
 
 
 def least_differing(left: str, right: str) -> str:

@@ -3,9 +3,11 @@ size-checked broadcasts and column-name hygiene."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +58,44 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+#: What the operator that used this worker process last keeps over its tasks, by operator.
+_kept: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What ``operator`` keeps in this process from task to task.
+
+    A worker process serves every stage of a session.  What another operator kept goes, so a
+    process never holds the tokenizers and caches of several.
+    """
+    if operator not in _kept:
+        _kept.clear()
+        _kept[operator] = {}
+    return _kept[operator]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which neither Arrow's pool nor the C library does on its own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, operator: str = "") -> DataFrame:
+    """``df.mapInArrow(run, schema)`` by workers that hold only what ``operator`` keeps; between tasks the rest is the system's."""
+
+    def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(operator)
+        give_back()
+        try:
+            yield from run(rows)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def maybe_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Hint a broadcast when the counted size is below ``BROADCAST_BYTES``;
     beyond it the frame comes back unchanged and the join shuffles."""

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe, scan
-from .shared import id_text, shared_dir
+from .shared import id_text, kept, mapped, shared_dir
 
 #: Bytes of a row group and of a page, rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 1000
@@ -99,14 +99,12 @@ class Library:
         return out
 
 
-_libraries: dict[str, Library] = {}
-
-
 def library(path: str) -> Library:
     """One library, with its memory, for each worker process and file."""
-    if path not in _libraries:
-        _libraries[path] = Library(path)
-    return _libraries[path]
+    libraries = kept("tokens")
+    if path not in libraries:
+        libraries[path] = Library(path)
+    return libraries[path]
 
 
 def encoded(docs: DataFrame, path: str, end_id: int | None = 1) -> DataFrame:
@@ -127,7 +125,7 @@ def encoded(docs: DataFrame, path: str, end_id: int | None = 1) -> DataFrame:
                 at += int(ends[-1]) if len(ends) else 0
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"shard int, doc_id {kind}, local_start long, n_tokens long, ids array<int>")
+    return mapped(docs.select("doc_id", "text"), run, f"shard int, doc_id {kind}, local_start long, n_tokens long, ids array<int>", "tokens")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, partitions: int | None = None, encoding: str = "dictionary") -> None:
@@ -195,7 +193,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     kind = dict(tokens.dtypes)["doc_id"]
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return mapped(tokens.select("doc_id", "start", "n_tokens", "ids"), run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long", "tokens")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

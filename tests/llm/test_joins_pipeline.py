@@ -257,3 +257,36 @@ def test_pipeline_stages_against_brute_force(spark):
         assert r.n_tokens in {len(library.encode(t, add_special_tokens=False).ids) for i, t in rows if i == r.doc_id}
     for name in ("language_id", "line_dedup", "ngram_jaccard_join", "bpe_codec"):
         assert stages[name](spark, none, "").count() == 0
+
+
+def test_a_worker_keeps_one_operators_memory(spark):
+    """A codec stays from task to task of its own stage and goes when another operator's task comes."""
+    import os
+
+    import pyarrow as pa
+
+    from quern.llm import bpe, shared
+    from quern.llm.shared import kept, mapped
+
+    from .conftest import tokenizer
+
+    def task(operator):
+        def run(rows):
+            mine = kept(operator)
+            for batch in rows:
+                mine["n"] = mine.get("n", 0) + batch.num_rows
+                yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "n": [mine["n"]], "operators": [sorted(shared._kept)]})
+
+        return mapped(spark.range(0, 1, 1, 1), run, "pid long, n long, operators array<string>", operator).collect()[0]  # a worker that is not read to its end is not used again
+
+    def same(operator, times=12):  # tasks of one worker, whichever serves most of them
+        rows = [task(operator) for _ in range(times)]
+        pid = max(rows, key=lambda r: r.n).pid
+        return [r for r in rows if r.pid == pid]
+
+    first, second = same("one"), same("two")
+    assert first[-1].n == len(first) > 1 and second[-1].n == len(second) > 1
+    assert all(r.operators == ["one"] for r in first) and all(r.operators == ["two"] for r in second)
+    assert task("one").n == 1
+    c = bpe.codec(tokenizer())
+    assert bpe.codec(tokenizer()) is c and kept("other") == {} and bpe.codec(tokenizer()) is not c
