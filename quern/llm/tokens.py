@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 1000
 #: Distinct chunks that a worker process remembers, about 200 bytes each.
 MEMORY = 800_000
 #: Text bytes whose chunks are looked up together.
-TOGETHER = 2 << 20
+TOGETHER = 8 << 20
 
 
 class Library:
@@ -70,11 +71,11 @@ class Library:
         symbols = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode("utf-8")))
         return np.array([t.id for t in self.model.tokenize(symbols)], "<i4").tobytes()
 
-    def _learn(self, need: set[str]) -> None:
+    def _learn(self, need: list[str]) -> None:
         if len(self.known) > MEMORY // 2:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
-        for chunk in need.difference(known):
+        for chunk in [c for c in need if c not in known]:
             raw = old.get(chunk)
             if raw is None:
                 parts = []
@@ -86,17 +87,35 @@ class Library:
                 raw = parts[0] if len(parts) == 1 else b"".join(parts)
             known[chunk] = raw
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
+        """Ids of the texts one after another, where each text's begin (with the total at the
+        end), and apart from them the ids of texts that the library reads whole.
+
+        Chunks are cut, told apart and laid out as arrays; only distinct ones reach the memory.
+        """
+        apart = {k: self.whole(t) for k, t in enumerate(texts) if "<|" in t or self.plain.search(t)}
+        # the fast alphabet's only white space is what this splits at; an empty piece has no ids
+        cut = pc.ascii_split_whitespace(pa.array(["" if k in apart else t.lower() for k, t in enumerate(texts)], pa.large_string()))
+        coded = cut.values.dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(chunks)
+        raw = list(map(self.known.__getitem__, chunks))
+        size = np.fromiter(map(len, raw), np.int32, len(raw)) // 4
+        store, begin = np.frombuffer(b"".join(raw), "<i4"), np.cumsum(size, dtype=np.int32) - size
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=ends[1:])
+        ids = store[np.repeat(begin[at] - ends[:-1], n) + np.arange(ends[-1], dtype=np.int32)]
+        for w in chunks:
+            if len(w) > bpe.CACHE_CHARS:
+                del self.known[w]
+        return ids, ends[cut.offsets.to_numpy()], apart
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian 32-bit integers."""
-        # the fast alphabet's only white space is what str.split takes
-        chunks = [None if "<|" in t or self.plain.search(t) else t.lower().split() for t in texts]
-        need = set().union(*(c for c in chunks if c is not None))
-        self._learn(need)
-        ids_of = self.known.__getitem__
-        out = [self.whole(t) if c is None else b"".join(map(ids_of, c)) for t, c in zip(texts, chunks, strict=True)]
-        for w in [w for w in need if len(w) > bpe.CACHE_CHARS]:
-            del self.known[w]
-        return out
+        ids, first, apart = self.flat(texts)
+        return [np.frombuffer(apart[k], "<i4") if k in apart else ids[first[k] : first[k + 1]] for k in range(len(texts))]
 
 
 def library(path: str) -> Library:
@@ -113,13 +132,13 @@ def encoded(docs: DataFrame, path: str, end_id: int | None = 1) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = library(path)
         shard, at = TaskContext.get().partitionId(), 0
-        tail = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
+        tail = np.array([] if end_id is None else [end_id], "<i4")
         for batch in rows:
             for part in scan.batches(batch, "text", TOGETHER):
                 coded = known.encode([t or "" for t in part.column("text").to_pylist()])
-                counts = np.array([(len(raw) + len(tail)) // 4 for raw in coded], np.int64)
+                counts = np.array([len(ids) + len(tail) for ids in coded], np.int64)
                 ends = np.cumsum(counts)
-                flat = np.frombuffer(tail.join(coded) + tail, "<i4")
+                flat = np.concatenate([x for ids in coded for x in (ids, tail)]) if coded else tail[:0]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(coded), shard, np.int32)), part.column("doc_id"), pa.array(at + ends - counts), pa.array(counts), lists], ["shard", "doc_id", "local_start", "n_tokens", "ids"])
                 at += int(ends[-1]) if len(ends) else 0

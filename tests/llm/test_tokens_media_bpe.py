@@ -178,3 +178,18 @@ def test_stored_tensors_are_the_decoded_pictures(spark, odd, tmp_path):
     for r in got.collect():
         picture = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
         assert r.error is None and (picture == want[r.doc_id]).all()
+
+
+def test_token_lookup_cuts_and_lays_out_whole_batches(library, monkeypatch):
+    """Every white space of the fast alphabet, empty texts, long and odd words: the library's ids, with a full memory too; a distinct chunk is looked up once."""
+    monkeypatch.setattr(tokens, "MEMORY", 20)
+    rnd = random.Random(3)
+    bits = ["a", "b's", "é", " ", "\n", "\x0b", "\x0c", "\r", "\t", "  ", "12", "y" * 70, "<|endoftext|>", "日", "İ", "!!"]
+    texts = ["", "  ", " a "] + ["".join(rnd.choice(bits[: rnd.choice([12, 16])]) for _ in range(rnd.randint(0, 30))) for _ in range(600)]
+    known = tokens.Library(tokenizer())
+    for k in range(0, len(texts), 50):
+        got = known.encode(texts[k : k + 50])
+        assert [g.tolist() for g in got] == [e.ids for e in library.encode_batch(texts[k : k + 50], add_special_tokens=False)]
+    assert known.encode([]) == [] and not any(len(w) > bpe.CACHE_CHARS for w in known.known)
+    ids, first, apart = known.flat(["same words here", "日", "same words"])
+    assert list(apart) == [1] and first.tolist()[1] == first.tolist()[2] and len(ids) == first[-1]
